@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def held_out(id_col: str | Column) -> Column:
 
 def slices(batch: pa.RecordBatch, text: str, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows that hold few rows and few bytes of text each (one long text may stand alone)."""
-    sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for i, n in enumerate(sizes):
         if i > begin and (i - begin >= rows or held + n > most):
