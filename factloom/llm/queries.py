@@ -55,3 +55,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     files = write_token_files(docs, _tokenizer("byte_bpe_50k.json"), end_id=0, length=2048)
     return read_token_files(files, docs.schema["doc_id"].dataType.simpleString())
+
+
+@_query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+@_query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_near_duplicates
+
+    return simhash_near_duplicates(_table(spark, sf_dir, "documents"), words=4)
