@@ -85,3 +85,13 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY rank <= 5
 """
+
+
+@_query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .language_id import fit, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, ~held_out("doc_id"))
+    return predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
