@@ -172,20 +172,15 @@ def fit(docs: DataFrame, learnable: Column, sample: int = 3000, id_col: str = "d
     return model
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, lang_pred, score (calibrated probability of that label)."""
-    return predict_with(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model).withColumnRenamed("id", id_col)
-
-
-def predict_with(rows: DataFrame, model: LanguageModel) -> DataFrame:
-    """rows with the columns lang_pred and score added; the text column must be named text."""
+def predict(rows: DataFrame, model: LanguageModel, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """rows with the predicted label and its calibrated probability added, as the columns out."""
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in rows.schema]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = [model.predict(x) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(n).cast(k) for n, k in kinds], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*[n for n, _ in kinds], "lang_pred", "score"])
+            for part in slices(batch, text_col):
+                found = [model.predict(x) for x in part.column(text_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(n).cast(k) for n, k in kinds], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*[n for n, _ in kinds], *out])
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{schema}, `{out[0]}` string, `{out[1]}` double")

@@ -94,7 +94,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = fit(docs, ~held_out("doc_id"))
-    return predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
 @_query
@@ -133,3 +133,10 @@ o AS (SELECT w.*, len(ws) < 5 OR (doc_id, no) IN (SELECT place FROM k) AS stays
 SELECT doc_id, count(*)::BIGINT AS n_lines, CASE WHEN coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (stays), '') = '' THEN 0 ELSE count(*) FILTER (stays) END::BIGINT AS n_kept,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (stays), '')) AS text_sha256 FROM o GROUP BY doc_id
 """
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
