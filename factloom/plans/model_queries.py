@@ -1 +1,88 @@
-"""Queries."""
+"""Queries over container models and views."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import model as M
+from .graph_queries import TRADE, trade
+from .registry import register, table
+
+NODES = [
+    ("web", "Web App", "web_app", "React", None, None, None, None),
+    ("gw", "API Gateway", "service", None, None, None, None, None),
+    ("orders", "Orders Service", "service", "Java", None, "Sales", None, None),
+    ("billing", "Billing Service", "service", None, None, "Sales", None, None),
+    ("mailer", "Mail Worker", "worker", None, None, None, None, None),
+    ("grafana", "Grafana", "service", None, None, None, None, None),
+    ("db", "PostgreSQL", "datastore", None, None, None, None, None),
+    ("mq", "RabbitMQ", "queue", None, None, None, None, None),
+    ("stripe", "Stripe", "external", None, None, None, None, None),
+    ("spring", "Spring Boot", "external", None, None, None, None, None),
+    ("odd", "Odd", "module", None, None, None, None, None),
+]
+EDGES = [("web", "gw", "calls"), ("gw", "orders", "calls"), ("gw", "billing", "calls"), ("web", "orders", "calls"), ("orders", "billing", "calls"), ("orders", "db", "reads"), ("billing", "stripe", "charges"), ("orders", "spring", "uses"), ("orders", "odd", "uses"), ("billing", "orders", "asks"), ("orders", "orders", "self")]
+DENY = ["spring", "react", "express"]
+
+
+def sample(spark) -> M.Model:
+    return M.Model(spark.createDataFrame(NODES, M.NODE_SCHEMA), spark.createDataFrame(EDGES, M.EDGE_SCHEMA))
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(str(tuple(r)) for r in rows)}) t({names})".replace("None", "NULL")
+
+
+@register(_values([r[:3] for r in NODES if r[2] != "module"], "id, label, kind"))
+def enforce_kinds(spark, sf_dir):
+    return M.enforce_kinds(sample(spark)).nodes.select("id", "label", "kind")
+
+
+@register(_values([("web", "React"), ("gw", None), ("orders", "Java, Spring Boot"), ("billing", None), ("mailer", None), ("grafana", None), ("db", None), ("mq", None), ("stripe", None), ("odd", None)], "id, tech"))
+def strip_technologies(spark, sf_dir):
+    return M.strip_technologies(sample(spark), DENY).nodes.select("id", "tech")
+
+
+@register(_values([("web", "presentation", "entrypoint"), ("gw", "gateway", "gateway"), ("orders", "domain", "domain"), ("billing", "domain", "domain"), ("mailer", "worker", "worker"), ("grafana", "domain", "domain"), ("db", "data", "data"), ("mq", "data", "data"), ("stripe", "external", "external"), ("spring", "external", "external"), ("odd", "domain", "domain")], "id, layer, role"))
+def assign_layers(spark, sf_dir):
+    return M.assign_layers(sample(spark)).nodes.select("id", "layer", "role")
+
+
+@register(_values([("web", "gw"), ("gw", "orders"), ("billing", "stripe"), ("billing", "orders"), ("orders", "db"), ("user", "web"), ("web", "mailer"), ("billing", "mq")], "src, dst"))
+def hld_edges(spark, sf_dir):
+    return M.hld(sample(spark), DENY).edges.select("src", "dst")
+
+
+@register(_values([(11, 6, 2, 2, 11, 3, 0, 0, "warn: nodes without edges; warn: no actor", True)], "nodes, containers, stores, externals, edges, orphans, external_orphans, dangling, findings, passed"))
+def validate_model(spark, sf_dir):
+    return M.validate(sample(spark))
+
+
+@register()
+def render_flow(spark, sf_dir):
+    return M.render_flowchart(M.hld(sample(spark), DENY))
+
+
+_VIEW = f"""WITH {TRADE}, c AS (SELECT n_nationkey AS id, 'L' || (n_regionkey % 3) AS layer, (SELECT sum(weight) FROM trade WHERE src = n_nationkey OR dst = n_nationkey)::BIGINT AS score FROM nation),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM c), k AS (SELECT * FROM r WHERE r <= 9), b AS (SELECT src, dst, weight FROM trade UNION ALL SELECT dst, src, weight FROM trade),
+p AS (SELECT src, dst, sum(weight) AS w FROM b WHERE src IN (SELECT id FROM r WHERE r > 9) AND dst IN (SELECT id FROM k) GROUP BY ALL),
+t AS (SELECT id AS node, id AS g FROM k UNION ALL SELECT src, dst FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst DESC) = 1),
+e AS (SELECT a.g AS src, z.g AS dst, sum(weight)::BIGINT AS weight FROM trade JOIN t a ON a.node = src JOIN t z ON z.node = dst WHERE a.g <> z.g GROUP BY ALL)"""
+
+
+@register(f"{_VIEW} SELECT id, layer, score FROM k")
+def layered_view_nodes(spark, sf_dir):
+    return _view(spark, sf_dir)[0]
+
+
+@register(f"{_VIEW} SELECT e.* FROM e JOIN k a ON a.id = src JOIN k z ON z.id = dst WHERE z.layer >= a.layer ORDER BY weight DESC, src, dst LIMIT 14")
+def layered_view_edges(spark, sf_dir):
+    return _view(spark, sf_dir)[1]
+
+
+def _view(spark, sf_dir):
+    edges = trade(spark, sf_dir)
+    ends = edges.select(F.col("src").alias("id"), "weight").unionByName(edges.select(F.col("dst").alias("id"), "weight"))
+    score = ends.groupBy("id").agg(F.sum("weight").alias("score"))
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("L"), (F.col("n_regionkey") % 3).cast("string")).alias("layer")).join(score, "id", "left")
+    return M.layered_view(nodes, edges, ["L0", "L1", "L2"])
