@@ -13,6 +13,7 @@ import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +48,27 @@ def is_skipped(path: Column) -> Column:
     return out
 
 
+def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    if "://" in uri and not uri.startswith("file:"):
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+
+
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text) of all files below a path whose language is known and that are not skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    root = path.rstrip("/").removeprefix("file:").lstrip("/")
-    name = F.regexp_replace("path", rf"^[a-z]*:?/*{re.escape(root)}/?", "")
-    return files.select(name.alias("file"), F.decode("content", "UTF-8").alias("text")).where(language_of(F.col("file")).isNotNull() & ~is_skipped(F.col("file")))
+    """(file, text) of all files below a path whose language is known and that are not skipped. Spark's own file listing leaves out names that begin with an underscore (__init__.py), so the names are listed here and read by the tasks; bad bytes are replaced."""
+    fs, root = _filesystem(path)
+    names = [(x.path,) for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.type == pafs.FileType.File]
+    listed = spark.createDataFrame(names, "path string").withColumn("file", F.expr(f"substring(path, {len(root.rstrip('/')) + 2})"))
+    wanted = listed.where(language_of(F.col("file")).isNotNull() & ~is_skipped(F.col("file")))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source = _filesystem(path)[0]
+        for batch in batches:
+            for r in batch.to_pylist():
+                with source.open_input_stream(r["path"]) as f:
+                    yield pa.RecordBatch.from_pydict({"file": [r["file"]], "text": [f.read().decode("utf-8", "replace")]})
+
+    return wanted.mapInArrow(run, "file string, text string")
 
 
 def _unique(items: Iterable[str], most: int | None = None) -> list[str]:
