@@ -140,3 +140,10 @@ JOIN nation s ON s.n_nationkey = s_nationkey JOIN nation c ON c.n_nationkey = c_
 def region_rollup(spark, sf_dir):
     member = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("group"))
     return graph.roll_up(trade(spark, sf_dir), member)
+
+
+@register()
+def communities(spark, sf_dir):
+    from ..operators.communities import communities as found
+
+    return found(g2f(spark, sf_dir))

@@ -119,3 +119,13 @@ def test_empty_model(spark):
     m = model.Model(spark.createDataFrame([], model.NODE_SCHEMA), spark.createDataFrame([], model.EDGE_SCHEMA))
     assert model.validate(m).first()["passed"] is False
     assert model.render_flowchart(m).count() == 1
+
+
+def test_communities(spark):
+    from factloom.operators.communities import communities, modularity
+
+    pairs = [(a, b) for group in ("abcd", "wxyz") for a in group for b in group if a < b] + [("d", "w")]
+    got = {r["node"]: r["community"] for r in communities(edges(spark, pairs + [("b", "a"), ("a", "a")])).collect()}
+    assert got == {x: "a" for x in "abcd"} | {x: "w" for x in "wxyz"}
+    assert modularity({p: 1.0 for p in pairs}, got) > 0.4
+    assert communities(edges(spark, []).limit(0)).count() == 0
