@@ -2,43 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.store import fresh_dir, materialize, shared_dir  # noqa: F401
+
 #: Rows handled at once inside a Python worker; keeps memory bounded whatever Spark's batch size is.
 SLICE_ROWS = 256
 #: Characters or bytes of text handled at once inside a Python worker.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="factloom-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared one."""
-    return f"{shared_dir(spark)}/factloom/{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(id_col: str | Column) -> Column:
     """crc32(id as text) mod 4; null ids fall in fold 0."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
