@@ -1,27 +1,31 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its lower-cased words. Lines are first made distinct, each with its first place (document id,
-line number; null ids last). The words of a line are ordered by rarity (a count per hash bucket over the whole
-table, of fixed size, decides; ties by hash), and two lines can reach the similarity only if their prefixes share a
-word whose positions leave enough words behind it, and if their sizes are close; a 64-bit parity bitmap of the
-words bounds the overlap further. What passes these filters is verified on the words themselves. A line goes if
-an earlier line reaches the similarity, whether that one stays or not, or if it is a later copy.
-
-Groups of similar lines are not paired off: each line is compared with the earliest line of each of its prefix words
-first, and only what that does not decide is joined with all earlier lines. Lines with fewer than min_words words
-are left alone, as are null texts. Rows that repeat an id and a text are treated alike. An empty table gives an
-empty result. All columns of the table are kept.
+A line is the set of its lower-cased words. Of equal lines only the first place counts (by document id, null ids
+last, then by line number). The words of a line are ordered by rarity (a count per hash bucket over the whole table,
+of fixed size, decides; ties by hash), and two lines can reach the similarity only if their prefixes share a word
+whose positions leave enough words around it, and if their sizes are close; a parity bitmap of the words (64 bits, 128 for
+long lines) bounds the overlap further. What passes these filters is verified on the words themselves. A line goes if an earlier
+line reaches the similarity, whether that one stays or not, or if it is a later copy.
+
+Groups of similar lines are not paired off. Among the lines that share a prefix word, one that passes the filters
+with the earliest of them is paired with that one alone, and only the others are paired with all that came before.
+Where verification then decides nothing, a second round pairs what is left with all earlier lines.
+
+Lines with fewer than min_words words are left alone, as are null texts. Rows that repeat an id and a text are treated
+alike. An empty table gives an empty result. All columns of the table are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 #: Hash buckets whose word counts order words by rarity (a power of two); the table is one byte for each.
-RARITY_BUCKETS = 1 << 20
+RARITY_BUCKETS = 1 << 18
+#: Lines of more distinct words have their parities in two halves, 128 bits in all.
+LONG = 64
 #: Rows of two keys up to which a side of a join is broadcast; the join shuffles beyond.
 BROADCAST_ROWS = 2_000_000
 _WORDS = r"array_remove(split(lower({0}), '[ \\t\\x0B\\f\\r]+'), '')"
@@ -32,90 +36,140 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def rarity(rows: DataFrame) -> bytes:
-    """By hash bucket, a class from 1 to 126 that grows with the number of words of the column text that fall in it."""
+def rarity(rows: DataFrame) -> DataFrame:
+    """One row (one, codes): by hash bucket, a class from 1 to 126 that grows with the number of words of the column text that fall in it, as an array of RARITY_BUCKETS bytes."""
     word = F.explode_outer(F.expr(_WORDS.format("replace(text, '\\n', ' ')"))).alias("word")
     counted = rows.select(word).select(F.expr(f"xxhash64(word) & {RARITY_BUCKETS - 1}L").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     whole = counted.unionByName(rows.sparkSession.range(RARITY_BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))).groupBy("bucket").agg(F.sum("n").alias("n"))
-    coded = whole.select((F.col("bucket") / 4096).cast("int").alias("part"), F.struct("bucket", F.expr("char(cast(least(126, 1 + floor(4 * log2(greatest(n, 1)))) as int))").alias("c")).alias("x"))
-    parts = coded.groupBy("part").agg(F.sort_array(F.collect_list("x")).alias("xs")).select("part", F.expr("concat_ws('', transform(xs, x -> x.c))").alias("codes"))
-    return "".join(r["codes"] for r in parts.orderBy("part").collect()).encode("ascii")  # RARITY_BUCKETS bytes
+    coded = whole.select(F.struct("bucket", F.expr("cast(least(126, 1 + floor(4 * log2(greatest(n, 1)))) as tinyint)").alias("c")).alias("x"))
+    return materialize(coded.agg(F.sort_array(F.collect_list("x")).alias("xs")).select(F.lit(1).alias("one"), F.expr("transform(xs, x -> x.c)").alias("codes")), "rarity")
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """(id, version, no, line) of (id, text): version tells rows with the same id but other texts apart."""
-    return rows.select("id", F.xxhash64("text").alias("version"), F.posexplode_outer(F.split("text", "\n")).alias("no", "line"))
+def _numbers(at: str) -> str:
+    """SQL: a sorted array of numbers as a binary with the character 1 at each of them and 0 at others."""
+    return f"cast(concat_ws('', transform({at}, (x, i) -> concat(repeat('0', x - if(i = 0, -1, {at}[i - 1]) - 1), '1'))) as binary)"
 
 
-def _key(words: str) -> Column:
-    return F.expr(f"unhex(substring(sha2(concat_ws(' ', {words}), 256), 1, 32))")
+def _marked(bits: str, no: Column) -> Column:
+    return F.coalesce(F.substring(F.col(bits), no + 1, 1) == F.lit(bytearray(b"1")), F.lit(False))
 
 
-def distinct_lines(rows: DataFrame, codes: bytes, similarity: float, min_words: int) -> DataFrame:
-    """(gid, key, id, version, no, n, prefix, bits): every distinct line of enough words at its first place."""
-    words = _lines(rows).withColumn("words", F.expr(_WORDS.format("line")))
-    hashed = words.select("id", "version", "no", _key("words").alias("key"), F.size("words").alias("n_words"), F.expr("array_distinct(transform(words, w -> xxhash64(w)))").alias("hs"))
-    code = F.lit(bytearray(codes))
+def first_places(rows: DataFrame) -> DataFrame:
+    """(id, version, uid, firsts): of each document with lines seen there first, their numbers. version tells rows with the same id but other texts apart; uid grows with the order of documents."""
+    lines = rows.select("id", F.xxhash64("text").alias("version"), F.posexplode_outer(F.split("text", "\n")).alias("no", "line")).where("no IS NOT NULL")
+    keyed = lines.select(F.expr("unhex(substring(sha2(line, 256), 1, 32))").alias("key"), F.struct(F.col("id").isNull().alias("none"), "id", "no", "version").alias("place"))
+    places = keyed.groupBy("key").agg(F.min("place").alias("place")).select("place.*")
+    found = materialize(places.groupBy("none", "id", "version").agg(F.sort_array(F.collect_list("no")).alias("at")).select("none", "id", "version", F.expr(_numbers("at")).alias("firsts")), "firsts")
+    ordered = found.repartitionByRange("none", "id", "version").sortWithinPartitions("none", "id", "version")
+    return materialize(ordered.select("id", "version", F.monotonically_increasing_id().alias("uid"), "firsts"), "places")
 
-    def ranked(h: Column) -> Column:
-        c = F.ascii(F.substring(code, (h.bitwiseAND(F.lit(RARITY_BUCKETS - 1).cast("long")) + 1).cast("int"), 1).cast("string"))
-        return F.shiftleft(c.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    ranks = hashed.select("id", "version", "no", "key", "n_words", F.sort_array(F.transform("hs", ranked)).alias("ks"))
-    kept = ranks.select(
-        "key",
-        F.struct(F.col("id").isNull().alias("none"), "id", "no", "version").alias("place"),
-        F.struct("n_words", F.size("ks").alias("n"), F.expr(f"slice(ks, 1, cast(size(ks) - ceil({similarity} * size(ks) - 1e-9) + 1 as int))").alias("prefix"), F.expr("aggregate(ks, 0L, (a, k) -> a ^ shiftleft(1L, cast(k & 63 as int)))").alias("bits")).alias("about"),
-    )
-    firsts = kept.groupBy("key").agg(F.min("place").alias("place"), F.first("about").alias("about"))
-    found = firsts.where(F.col("about.n_words") >= min_words).select("key", "place.id", "place.version", "place.no", "about.n", "about.prefix", "about.bits")
-    return materialize(found.withColumn("gid", F.monotonically_increasing_id()), "lines")
+def _documents(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(uid, firsts, text) of the documents that have lines seen there first."""
+    p = _small(places.select(F.col("id").alias("p_id"), F.col("version").alias("p_version"), "uid", "firsts"))
+    joined = rows.join(p, F.col("id").eqNullSafe(F.col("p_id")) & (F.xxhash64("text") == F.col("p_version")))
+    return joined.select("uid", "firsts", "text")
+
+
+def _first_lines(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(uid, no, line) of the lines that are the first of their kind."""
+    found = _documents(rows, places).select("uid", "firsts", F.posexplode_outer(F.split("text", "\n")).alias("no", "line"))
+    return found.where(_marked("firsts", F.col("no"))).select("uid", "no", "line")
+
+
+def _parity(which: str) -> str:
+    """SQL: 64 parities of the words ks for which a condition on k holds."""
+    return f"aggregate(ks, 0L, (a, k) -> if({which}, a ^ shiftleft(1L, cast(k & 63 as int)), a))"
+
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: body, in which name stands for value, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def _may_match(a: str, b: str, t: float) -> str:
-    """SQL: the length, positional and bitmap filters for two prefix rows of one word."""
+
+def prefixes(grouped: DataFrame, codes: DataFrame, similarity: float, min_words: int) -> DataFrame:
+    """(word, uid, no, n, pos, bits, odd) of (uid, lines: array of (no, words)): a row for each prefix word of each line of enough words. n: distinct words; pos: the word's place by rarity, from 0; bits: parities of the words; odd: for long lines those of half of them.
+
+    The table of rarity is joined to whole groups of lines and dropped with them, so that it isn't copied for each line.
+    """
+    rank = f"shiftleft(cast(codes[cast(h & {RARITY_BUCKETS - 1}L as int)] as bigint), 56) | (h & {(1 << 56) - 1}L)"
+    n = f"if(size(x.words) < {min_words}, 0, cast(size(ks) - ceil({similarity} * size(ks) - 1e-9) + 1 as int))"
+    line = f"named_struct('no', x.no, 'n', size(ks), 'bits', {_parity('true')}, 'odd', if(size(ks) > {LONG}, {_parity('(k & 64) = 64')}, 0L), 'prefix', slice(ks, 1, {n}))"
+    ks = f"sort_array(transform(array_distinct(transform(x.words, w -> xxhash64(w))), h -> {rank}))"
+    joined = grouped.withColumn("one", F.lit(1)).join(F.broadcast(codes), "one")
+    signed = joined.select("uid", F.explode_outer(F.expr(f"transform(lines, x -> {_let(ks, 'ks', line)})")).alias("s"))
+    out = signed.select("uid", "s.no", "s.n", "s.bits", "s.odd", F.posexplode_outer("s.prefix").alias("pos", "word")).where("word IS NOT NULL")
+    # Columns that can't be null: no filter on them is made up below the expressions above.
+    return out.select("word", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("uid", "no", "n", "pos", "bits", "odd")])
+
+
+def _passes(a: str, b: str, t: float) -> str:
+    """SQL: the length, positional and bitmap filters for two prefix rows of one word, a before b."""
     need = f"ceil({t} / (1 + {t}) * ({a}.n + {b}.n) - 1e-9)"
     return (
         f"{a}.n >= {t} * {b}.n - 1e-9 AND {b}.n >= {t} * {a}.n - 1e-9 AND least({a}.n - {a}.pos, {b}.n - {b}.pos) + least({a}.pos, {b}.pos) >= {need}"
-        f" AND ({a}.n + {b}.n - bit_count({a}.bits ^ {b}.bits)) / 2 >= {need}"
+        f" AND ({a}.n + {b}.n - if({a}.n > {LONG} AND {b}.n > {LONG}, bit_count({a}.odd ^ {b}.odd) + bit_count({a}.bits ^ {a}.odd ^ {b}.bits ^ {b}.odd), bit_count({a}.bits ^ {b}.bits))) / 2 >= {need}"
     )
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """(gid): the later lines of pairs (earlier, later) that reach the similarity."""
-    needed = pairs.select(F.col("earlier").alias("gid")).unionByName(pairs.select(F.col("later").alias("gid"))).distinct()
-    places = materialize(lines.join(_small(materialize(needed, "needed")), "gid", "left_semi").select("gid", "key", F.col("id").alias("p_id"), F.col("no").alias("p_no"), F.col("version").alias("p_version")), "places")
-    at = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("no") == F.col("p_no")) & (F.col("version") == F.col("p_version"))
-    words = _lines(rows).join(_small(places), at).select("gid", F.expr(f"array_distinct({_WORDS.format('line')})").alias("words")).dropDuplicates(["gid"])
-    words = materialize(words, "words")
-    a, b = words.select(F.col("gid").alias("earlier"), F.col("words").alias("wa")), words.select(F.col("gid").alias("later"), F.col("words").alias("wb"))
-    both = pairs.join(a, "earlier").join(b, "later").select("later", F.size(F.array_intersect("wa", "wb")).alias("shared"), (F.size("wa") + F.size("wb")).alias("total"))
-    return materialize(both.where(f"shared >= {similarity} * (total - shared) - 1e-9").select(F.col("later").alias("gid")).distinct(), "removed")
-
-
-def removed_lines(rows: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """(gid) of the distinct lines that an earlier distinct line reaches."""
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "no", "gid").alias("o")
-    prefix = lines.select(order, "n", "bits", F.posexplode("prefix").alias("pos", "word")).repartition("word")
-    heads = prefix.groupBy("word").agg(F.count(F.lit(1)).alias("lines"), F.min(F.struct("o", "n", "pos", "bits")).alias("head")).where("lines > 1").select(F.col("word"), "head.*")
-    first = prefix.alias("b").join(heads.alias("a"), "word").where(f"a.o < b.o AND {_may_match('a', 'b', similarity)}").select(F.col("a.o.gid").alias("earlier"), F.col("b.o.gid").alias("later")).distinct()
-    decided = _verified(materialize(first, "pairs"), lines, rows, similarity)
-    open_ = prefix.join(_small(decided.withColumnRenamed("gid", "d_gid")), F.col("o.gid") == F.col("d_gid"), "left_anti")
-    rest = open_.alias("b").join(prefix.alias("a"), "word").where(f"a.o < b.o AND {_may_match('a', 'b', similarity)}").select(F.col("a.o.gid").alias("earlier"), F.col("b.o.gid").alias("later")).distinct()
-    return decided.unionByName(_verified(materialize(rest, "pairs"), lines, rows, similarity))
+_ROW = ("uid", "no", "n", "pos", "bits", "odd")
+_BEFORE = "(a.uid < b.uid OR (a.uid = b.uid AND a.no < b.no))"
+_PAIR = ("a.uid AS a_uid", "a.no AS a_no", "b.uid AS b_uid", "b.no AS b_no")
+
+
+def _candidates(prefix: DataFrame, t: float) -> DataFrame:
+    """(a_uid, a_no, b_uid, b_no, more): pairs of an earlier and a later line. more: other earlier lines with the word were left out."""
+    dealt = prefix.repartition("word")
+    group = Window.partitionBy("word")
+    headed = dealt.withColumn("size", F.count(F.lit(1)).over(group)).withColumn("a", F.min(F.struct(*_ROW)).over(group)).where("size > 1")
+    later = headed.where("a.uid <> uid OR a.no <> no").withColumn("b", F.struct(*_ROW)).withColumn("near", F.expr(_passes("a", "b", t)))
+    near = later.where("near").selectExpr(*_PAIR, "size > 2 AS more")
+    rest = later.where("NOT near AND size > 2").select("word", "b").alias("x").join(dealt.select("word", F.struct(*_ROW).alias("a")).alias("y"), "word").where(f"{_BEFORE} AND {_passes('a', 'b', t)}").selectExpr(*_PAIR, "false AS more")
+    return near.unionByName(rest).groupBy("a_uid", "a_no", "b_uid", "b_no").agg(F.bool_or("more").alias("more"))
+
+
+def _words_of(pairs: DataFrame, rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(uid, no, words) of the lines in pairs."""
+    needed = materialize(pairs.selectExpr("a_uid AS uid", "a_no AS no").unionByName(pairs.selectExpr("b_uid AS uid", "b_no AS no")).distinct(), "needed")
+    found = _first_lines(rows, places).join(_small(needed), ["uid", "no"], "left_semi")
+    return materialize(found.select("uid", "no", F.expr(_WORDS.format("line")).alias("words")).dropDuplicates(["uid", "no"]), "words")
+
+
+def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(uid, no): the later lines of the pairs that reach the similarity."""
+    distinct = F.array_distinct("words")
+    a, b = words.select(F.col("uid").alias("a_uid"), F.col("no").alias("a_no"), distinct.alias("wa")), words.select(F.col("uid").alias("b_uid"), F.col("no").alias("b_no"), distinct.alias("wb"))
+    both = pairs.join(a, ["a_uid", "a_no"]).join(b, ["b_uid", "b_no"]).select("b_uid", "b_no", F.size(F.array_intersect("wa", "wb")).alias("shared"), (F.size("wa") + F.size("wb")).alias("total"))
+    return materialize(both.where(f"shared >= {similarity} * (total - shared) - 1e-9").selectExpr("b_uid AS uid", "b_no AS no").distinct(), "removed")
+
+
+def similar_lines(rows: DataFrame, places: DataFrame, similarity: float, min_words: int) -> DataFrame:
+    """(uid, no): the first places of lines that an earlier line reaches."""
+    codes = rarity(rows)
+    split = "filter(transform(split(text, '\\n'), (l, i) -> named_struct('no', i, 'words', if(substring(firsts, i + 1, 1) = X'31', " + _WORDS.format("l") + ", null))), x -> x.words IS NOT NULL)"
+    prefix = prefixes(_documents(rows, places).select("uid", F.expr(split).alias("lines")), codes, similarity, min_words)
+    pairs = materialize(_candidates(prefix, similarity), "pairs")
+    words = _words_of(pairs, rows, places)
+    removed = _verified(pairs, words, similarity)
+    undecided = pairs.where("more").selectExpr("b_uid AS uid", "b_no AS no").distinct().join(removed, ["uid", "no"], "left_anti")
+    left = words.join(undecided, ["uid", "no"], "left_semi").select("uid", F.array(F.struct("no", "words")).alias("lines"))
+    again = materialize(prefixes(left, codes, similarity, min_words), "undecided")
+    if not again.head(1):
+        return removed
+    shared = materialize(again.select("word").distinct(), "undecided_words")
+    others = prefix.join(_small(shared), "word", "left_semi").select("word", F.struct(*_ROW).alias("a"))
+    found = again.select("word", F.struct(*_ROW).alias("b")).join(others, "word").where(f"{_BEFORE} AND {_passes('a', 'b', similarity)}").selectExpr(*_PAIR).distinct()
+    found = materialize(found.join(pairs, ["a_uid", "a_no", "b_uid", "b_no"], "left_anti"), "pairs")
+    return removed.unionByName(_verified(found, _words_of(found, rows, places), similarity))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with later similar lines removed from the text column; rows, columns and their order stay."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = distinct_lines(rows, rarity(rows), similarity, min_words)
-    gone = removed_lines(rows, lines, similarity).withColumnRenamed("gid", "g_gid")
-    staying = lines.join(gone, F.col("gid") == F.col("g_gid"), "left_anti")
-    # Of each document, a string with a 1 at the number of each line that stays.
-    bits = "concat_ws('', transform(at, (x, i) -> concat(repeat('0', x - if(i = 0, -1, at[i - 1]) - 1), '1')))"
-    kept = staying.groupBy(F.col("id").alias("__fl_id"), F.col("version").alias("__fl_version")).agg(F.sort_array(F.collect_list("no")).alias("at")).select("__fl_id", "__fl_version", F.expr(f"cast({bits} as binary)").alias("__fl_kept"))
-    joined = docs.join(_small(materialize(kept, "kept")), F.col(id_col).eqNullSafe(F.col("__fl_id")) & (F.xxhash64(text_col) == F.col("__fl_version")), "left")
+    places = first_places(rows)
+    gone = similar_lines(rows, places, similarity, min_words).groupBy(F.col("uid").alias("g_uid")).agg(F.sort_array(F.collect_list("no")).alias("at")).select("g_uid", F.expr(_numbers("at")).alias("__fl_gone"))
+    marks = materialize(places.join(gone, F.col("uid") == F.col("g_uid"), "left").select(F.col("id").alias("__fl_id"), F.col("version").alias("__fl_version"), F.col("firsts").alias("__fl_firsts"), "__fl_gone"), "marks")
+    joined = docs.join(_small(marks), F.col(id_col).eqNullSafe(F.col("__fl_id")) & (F.xxhash64(text_col) == F.col("__fl_version")), "left")
     few = lambda x: F.size(F.array_remove(F.split(F.lower(x), r"[ \t\x0B\f\r]+"), "")) < min_words
-    stays = lambda x, i: F.coalesce(F.substring(F.col("__fl_kept"), i + 1, 1) == F.lit(bytearray(b"1")), F.lit(False)) | few(x)
-    text = F.array_join(F.filter(F.split(text_col, "\n"), stays), "\n")
+    text = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: (_marked("__fl_firsts", i) & ~_marked("__fl_gone", i)) | few(x)), "\n")
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
