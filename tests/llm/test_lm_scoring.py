@@ -35,3 +35,16 @@ def test_scores(spark):
         assert got[i]["n_words"] == len(w)
         assert got[i]["mean_log"] == (pytest.approx(total / len(w)) if w else None)
     assert score(df.limit(0), ~held_out("doc_id")).count() == 0
+
+
+def test_query_counts_all_documents(spark, tmp_path):
+    from factloom.llm.queries import op7_lm_scoring
+
+    left_out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    docs = [(left_out, "red green blue"), (left_out + 100, "red green red"), (left_out + 200, "grey")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["mean_log"] for r in op7_lm_scoring(spark, str(tmp_path)).collect()}
+    # red 3 times, green twice, blue and grey once, of 7 words; "red green" twice, each trigram once
+    first, second = 0.16 * 3 / 7, 0.4 * 2 / 3
+    assert got[left_out] == got[left_out + 100] == pytest.approx(sum(map(math.log, (first, second, 1 / 2))) / 3, abs=1e-6)
+    assert got[left_out + 200] == pytest.approx(math.log(0.16 / 7), abs=1e-6)
