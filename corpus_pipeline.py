@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import language_id, line_dedup, packing, simhash, toxicity
+from factloom.llm import language_id, line_dedup, near_dedup, packing, toxicity
 from factloom.llm.common import held_out, materialize
 
 #: Documents whose predicted language is less probable than this are rejected, as are those without a letter.
@@ -37,8 +37,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by fingerprints (of five-word shingles) that agree in at least 60 of 64 bits, the one with the least id; ids that repeat stay together."""
-    found = materialize(simhash.simhash_near_duplicates(docs, words=5).select(F.col("doc_id").alias("f_id"), "component_id"), "classes")
+    """Of documents connected by a Jaccard similarity of their five-word shingles of at least 0.8, the one with the least id; ids that repeat stay together."""
+    found = materialize(near_dedup.near_duplicates(docs, words=5, similarity=0.8).select(F.col("doc_id").alias("f_id"), "component_id"), "classes")
     kept = found.where(F.col("f_id").eqNullSafe(F.col("component_id"))).select("f_id").distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("f_id")), "left_semi")
 

@@ -1,5 +1,7 @@
 """The pipeline stage by stage on a small table."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -24,3 +26,32 @@ def test_stages(spark, tmp_path):
     assert 250 > sizes[0] > 150 and sizes[1] == sizes[0] - 2 and sizes[2] == sizes[1] and sizes[3] < sizes[2]
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert again.agg(F.sum("length")).first()[0] == got.agg(F.sum("length")).first()[0] == got.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_near_duplicates_reach_the_similarity(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 400]))]
+        texts.append(words)
+        for _ in range(3):  # a run of words replaced, at the end or in scattered places
+            copy = list(words)
+            for k in rng.sample(range(len(copy)), rng.randrange(1, 2 + len(copy) // 40)) if rng.random() < 0.6 else range(len(copy) - rng.randrange(len(copy) // 3), len(copy)):
+                copy[k] = f"x{rng.randrange(5000)}"
+            texts.append(copy)
+    texts += [[], [], ["one", "two"], ["one", "two"], ["one", "two", "three"]]
+    rng.shuffle(texts)
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    part = list(range(len(texts)))
+    near = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                near += a != sets[j] and 20 * len(a & sets[j]) < 19 * len(a | sets[j])
+                low, high = sorted((part[i], part[j]))
+                part = [low if x == high else x for x in part]
+    assert near > 5  # pairs between 0.8 and 0.95
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == {i for i, x in enumerate(part) if i == x}
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
