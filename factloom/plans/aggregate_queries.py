@@ -39,7 +39,7 @@ def role_ladder(spark, sf_dir):
 @register("""WITH m AS (SELECT DISTINCT l_partkey, n_regionkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_partkey % 7 = 0 AND s_suppkey % 3 = 0)
 SELECT l_partkey, CASE WHEN count(*) = 1 THEN min(n_regionkey)::VARCHAR ELSE 'Shared Data' END AS domain, count(*)::BIGINT AS peers FROM m GROUP BY l_partkey""")
 def domain_assignment(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_partkey % 7 = 0 AND l_suppkey % 3 = 0").select("l_partkey", F.col("l_suppkey").alias("s_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("s_suppkey"))
     regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
     members = lines.join(table(spark, sf_dir, "supplier"), "s_suppkey").join(regions, "s_nationkey").select("l_partkey", "n_regionkey").distinct()
     return aggregate.inherit_domain(members, "l_partkey", "n_regionkey")
