@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import uuid
+
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.store import fresh_dir, materialize, shared_dir  # noqa: F401
@@ -50,3 +52,12 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 def texts(column: pa.Array) -> list[str]:
     """Each text; null is empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def materialize_buckets(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Write df into the shared folder in buckets by column and read it again; grouping by column then needs no shuffle of it."""
+    spark, table = df.sparkSession, f"factloom_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).format("parquet").option("path", fresh_dir(spark, name)).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the entry alone: the files lie outside the warehouse
+    return found

@@ -147,3 +147,15 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import score
 
     return score(_table(spark, sf_dir, "documents"), F.lit(True)).withColumn("mean_log", F.round("mean_log", 6))
+
+
+ORACLE_SQL["op7_lm_scoring"] = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, ws FROM w),
+e AS (SELECT r, unnest(ws) AS c, generate_subscripts(ws, 1) AS no FROM d),
+g AS MATERIALIZED (SELECT r, c, lag(c) OVER o AS b, lag(c, 2) OVER o AS a FROM e WINDOW o AS (PARTITION BY r ORDER BY no)),
+n1 AS (SELECT c, count(*) AS n FROM g GROUP BY ALL), n2 AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL), n3 AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY ALL),
+s AS (SELECT g.r, CASE WHEN n3.n IS NOT NULL THEN n3.n / m2.n WHEN n2.n IS NOT NULL THEN 0.4::DOUBLE * n2.n / m1.n ELSE 0.4::DOUBLE * 0.4::DOUBLE * n1.n / (SELECT sum(n) FROM n1) END AS s
+  FROM g JOIN n1 ON n1.c = g.c LEFT JOIN n2 ON n2.b = g.b AND n2.c = g.c LEFT JOIN n3 ON n3.a = g.a AND n3.b = g.b AND n3.c = g.c LEFT JOIN n2 m2 ON m2.b = g.a AND m2.c = g.b LEFT JOIN n1 m1 ON m1.c = g.b)
+SELECT doc_id, len(ws)::BIGINT AS n_words, round(avg(ln(s)), 6) AS mean_log FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id, ws
+"""
