@@ -14,6 +14,9 @@ RESERVED_IDS = ("end", "graph", "subgraph", "click", "style", "class", "classdef
 #: Source suffixes, in the order in which the first match is cut.
 SOURCE_SUFFIXES = ("py", "tsx", "ts", "jsx", "js", "cs", "java")
 
+#: Folders that hold independent units side by side.
+GENERIC_ROOTS = ("src", "source", "sources", "app", "apps", "lib", "libs", "pkg", "pkgs", "packages", "services", "service", "cmd", "internal", "projects", "repos")
+
 
 def slug_ascii(x: Column, default: str = "node") -> Column:
     """Lower case; each run of other characters than a-z and 0-9 becomes one underscore; none at the ends."""
@@ -104,6 +107,14 @@ def ratio(a: Column, b: Column, default: float) -> Column:
     return F.when(b == 0, F.lit(default)).otherwise(a / b)
 
 
+def path_domain(path: Column) -> Column:
+    """The topmost folder above a unit's own that is no generic root; null for units at the top or directly below generic roots."""
+    parts = F.filter(F.split(F.coalesce(F.regexp_replace(path, r"\\", "/"), F.lit("")), "/"), lambda s: (s != "") & (s != "."))
+    above = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    skip = F.aggregate(above, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, s: F.struct((a["n"] + (a["on"] & F.lower(s).isin(*GENERIC_ROOTS)).cast("int")).alias("n"), (a["on"] & F.lower(s).isin(*GENERIC_ROOTS)).alias("on")), lambda a: a["n"])
+    return F.get(above, skip)
+
+
 def repository_name(url: Column) -> Column:
     """Last segment of a URL or path, without .git."""
     return F.regexp_replace(F.regexp_extract(F.regexp_replace(url, "/+$", ""), "([^/:]+)$", 1), r"\.git$", "")

@@ -36,7 +36,7 @@ def role_ladder(spark, sf_dir):
     return aggregate.role_ladder(n, "ext", "degree")
 
 
-@register("""WITH m AS (SELECT DISTINCT l_partkey, n_regionkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_partkey % 7 = 0 AND s_suppkey % 3 = 0)
+@register("""WITH m AS (SELECT DISTINCT l_partkey, n_regionkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
 SELECT l_partkey, CASE WHEN count(*) = 1 THEN min(n_regionkey)::VARCHAR ELSE 'Shared Data' END AS domain, count(*)::BIGINT AS peers FROM m GROUP BY l_partkey""")
 def domain_assignment(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("s_suppkey"))
@@ -45,10 +45,10 @@ def domain_assignment(spark, sf_dir):
     return aggregate.inherit_domain(members, "l_partkey", "n_regionkey")
 
 
-@register("""WITH r AS (SELECT DISTINCT p_size AS g, p_type AS label FROM part WHERE p_partkey % 5 < 3), k AS (SELECT g, count(*) FILTER (label IN ('SMALL', 'MEDIUM', 'LARGE')) AS n, min(label) FILTER (label IN ('SMALL', 'MEDIUM', 'LARGE')) AS one FROM r GROUP BY g)
+@register("""WITH r AS (SELECT DISTINCT p_size AS g, p_type AS label FROM part), k AS (SELECT g, count(*) FILTER (label IN ('SMALL', 'MEDIUM', 'LARGE')) AS n, min(label) FILTER (label IN ('SMALL', 'MEDIUM', 'LARGE')) AS one FROM r GROUP BY g)
 SELECT DISTINCT g, CASE WHEN label IN ('SMALL', 'MEDIUM', 'LARGE', 'STANDARD') THEN CASE WHEN n = 1 THEN one ELSE 'STANDARD' END ELSE label END AS label FROM r JOIN k USING (g)""")
 def consolidate_store_labels(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey % 5 < 3").select(F.col("p_size").alias("g"), F.col("p_type").alias("label"))
+    part = table(spark, sf_dir, "part").select(F.col("p_size").alias("g"), F.col("p_type").alias("label"))
     return aggregate.consolidate_labels(part, "g", "label", ("SMALL", "MEDIUM", "LARGE"), "STANDARD")
 
 
@@ -82,11 +82,11 @@ def _scored_sql(ctes: str, source: str, weights: dict, key: str = "") -> str:
     return f"{ctes}, pts AS (SELECT {key}{pts} FROM {source}) SELECT *, {_COMPOSED(weights)} AS score, CASE WHEN {_COMPOSED(weights)} >= 85 THEN 'High' WHEN {_COMPOSED(weights)} >= 70 THEN 'Moderate' ELSE 'Low' END AS grade FROM pts"
 
 
-@register(_scored_sql(f"""WITH {TRADE}, h AS (SELECT * FROM trade ORDER BY weight DESC, src, dst LIMIT 30), n AS (SELECT node FROM (SELECT src AS node FROM h UNION SELECT dst FROM h)),
+@register(_scored_sql(f"""WITH {TRADE}, h AS (SELECT * FROM trade), n AS (SELECT node FROM (SELECT src AS node FROM h UNION SELECT dst FROM h)),
 m AS (SELECT (SELECT count(*) FROM n) AS shown, (SELECT count(*) FROM nation) AS discovered, (SELECT count(*) FROM h) AS edges),
 x AS (SELECT 1.0::DOUBLE AS grounding, (shown / discovered)::DOUBLE AS coverage, (1 - (discovered - shown) / discovered)::DOUBLE AS connectivity, (CASE WHEN shown < 3 THEN shown / 3.0 WHEN shown > 12 THEN 1 - (shown - 12) / 12.0 ELSE 1.0 END)::DOUBLE AS abstraction, (1 - 0.34 * (edges < shown)::INT - 0.1 * (discovered > shown)::INT)::DOUBLE AS validity FROM m)""", "x", score.HLD))
 def hld_score(spark, sf_dir):
-    heavy = rank.top_k(trade(spark, sf_dir), [F.desc("weight"), F.col("src"), F.col("dst")], 30)
+    heavy = trade(spark, sf_dir)
     shown = graph.nodes(heavy).agg(F.count(F.lit(1)).alias("shown"))
     edges = heavy.agg(F.count(F.lit(1)).alias("edges"))
     found = nations(spark, sf_dir).agg(F.count(F.lit(1)).alias("discovered"))
@@ -96,13 +96,13 @@ def hld_score(spark, sf_dir):
     return one.select(*score.compose(axes, score.HLD))
 
 
-@register(_scored_sql(f"""WITH {TRADE}, lib AS (SELECT dst AS lib, count(DISTINCT src) AS n FROM trade WHERE weight > 20 GROUP BY 1), top AS (SELECT lib FROM lib ORDER BY n DESC, lib LIMIT 6), e AS (SELECT src, dst FROM trade WHERE dst IN (FROM top) AND weight > 25),
+@register(_scored_sql(f"""WITH {TRADE}, lib AS (SELECT dst AS lib, count(DISTINCT src) AS n FROM trade GROUP BY 1), top AS (SELECT lib FROM lib ORDER BY n DESC, lib LIMIT 6), e AS (SELECT src, dst FROM trade WHERE dst IN (FROM top)),
 x AS (SELECT 1.0::DOUBLE AS grounding, ((SELECT count(*) FROM top) / least(6, (SELECT count(*) FROM lib)))::DOUBLE AS coverage, ((SELECT count(DISTINCT dst) FROM e) / (SELECT count(*) FROM top))::DOUBLE AS connectivity, (1 - 0.1 * (SELECT count(*) FROM top WHERE lib NOT IN (SELECT dst FROM e)))::DOUBLE AS validity)""", "x", score.DEPENDENCY))
 def dependency_score(spark, sf_dir):
     edges = trade(spark, sf_dir)
-    libs = edges.where("weight > 20").groupBy(F.col("dst").alias("lib")).agg(F.countDistinct("src").alias("n"))
+    libs = edges.groupBy(F.col("dst").alias("lib")).agg(F.countDistinct("src").alias("n"))
     top = rank.top_k(libs, [F.desc("n"), F.col("lib")], 6)
-    used = edges.where("weight > 25").select(F.col("dst").alias("lib"), F.lit(True).alias("used")).distinct()
+    used = edges.select(F.col("dst").alias("lib"), F.lit(True).alias("used")).distinct()
     one = top.join(used, "lib", "left").agg(F.count(F.lit(1)).alias("top"), F.count_if(F.col("used")).alias("used")).withColumn("k", F.lit(1)).join(libs.agg(F.count(F.lit(1)).alias("libs")).withColumn("k", F.lit(1)), "k")
     t, u = F.col("top"), F.col("used")
     axes = {"grounding": F.lit(1.0), "coverage": T.ratio(t, F.least(F.lit(6), F.col("libs")), 0.0), "connectivity": T.ratio(u, t, 0.0), "validity": 1 - 0.1 * (t - u)}

@@ -129,9 +129,10 @@ def dangling_edges(spark, sf_dir):
     return graph.without_dangling(edges.unionByName(extra), nations(spark, sf_dir))
 
 
-@register(f"WITH {TRADE}, g AS (SELECT * FROM trade ORDER BY weight DESC, src, dst LIMIT 12) SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT src FROM g UNION SELECT dst FROM g)")
+@register(f"WITH {TRADE}, g AS (SELECT * FROM trade WHERE weight > 0.8 * (SELECT max(weight) FROM trade)) SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT src FROM g UNION SELECT dst FROM g)")
 def orphan_nodes(spark, sf_dir):
-    heavy = rank.top_k(trade(spark, sf_dir), [F.desc("weight"), F.col("src"), F.col("dst")], 12)
+    edges = trade(spark, sf_dir)
+    heavy = edges.join(edges.agg((0.8 * F.max("weight")).alias("least")), F.col("weight") > F.col("least"))
     return graph.orphans(nations(spark, sf_dir), heavy)
 
 
@@ -146,4 +147,4 @@ def region_rollup(spark, sf_dir):
 def communities(spark, sf_dir):
     from ..operators.communities import communities as found
 
-    return found(g2f(spark, sf_dir))
+    return found(trade(spark, sf_dir))

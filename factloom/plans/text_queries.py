@@ -10,26 +10,26 @@ from ..operators import rank
 from .join_queries import PATHS, paths
 from .registry import register, table
 
-FIRST = "f AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents)"
+FIRST = "f AS (SELECT doc_id, text AS line FROM documents)"
 
 
-def first_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("line"))
+def lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("line"))
 
 
 @register(f"WITH {FIRST} SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'node') AS slug FROM f")
 def slug_ascii(spark, sf_dir):
-    return first_lines(spark, sf_dir).select("doc_id", T.slug_ascii(F.col("line")).alias("slug"))
+    return lines(spark, sf_dir).select("doc_id", T.slug_ascii(F.col("line")).alias("slug"))
 
 
 @register(f"WITH {FIRST} SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}_]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'node') AS slug FROM f")
 def slug_word(spark, sf_dir):
-    return first_lines(spark, sf_dir).select("doc_id", T.slug_word(F.col("line")).alias("slug"))
+    return lines(spark, sf_dir).select("doc_id", T.slug_word(F.col("line")).alias("slug"))
 
 
 @register(f"WITH {FIRST} SELECT doc_id, trim(translate(line, chr(10) || '\";', ' '','), ' ') AS label, regexp_replace(lower(line), '[^a-z0-9]', '', 'g') AS compact FROM f")
 def safe_labels(spark, sf_dir):
-    return first_lines(spark, sf_dir).select("doc_id", T.safe_label(F.col("line")).alias("label"), T.compact(F.col("line")).alias("compact"))
+    return lines(spark, sf_dir).select("doc_id", T.safe_label(F.col("line")).alias("label"), T.compact(F.col("line")).alias("compact"))
 
 
 HREFS = """h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)"""
@@ -146,10 +146,10 @@ def language_counts(spark, sf_dir):
     return counted.join(top, F.col("lang") == F.col("top"), "left").select("lang", "n", F.col("top").isNotNull().alias("dominant"))
 
 
-@register("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM e q, e c WHERE q.vec_id < 10)
+@register("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM e q, e c WHERE q.vec_id % 20 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, round(score, 6) AS score FROM s QUALIFY rank <= 4""")
 def cosine_topk(spark, sf_dir):
     from ..operators.vectors import cosine_top_k
 
     e = table(spark, sf_dir, "embeddings")
-    return cosine_top_k(e, e.where("vec_id < 10"), 4).withColumn("score", F.round("score", 6))
+    return cosine_top_k(e, e.where("vec_id % 20 = 0"), 4).withColumn("score", F.round("score", 6))
