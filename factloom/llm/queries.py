@@ -113,15 +113,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
     docs = _table(spark, sf_dir, "documents").withColumn("n_lines", F.size(F.split("text", "\n")))
-    found = dedup_lines(docs, similarity=0.8, min_words=5)
+    found = dedup_lines(docs, similarity=0.8)
     kept = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), kept.cast("long").alias("n_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
 ORACLE_SQL["op9_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS no, unnest(string_split(text, chr(10))) AS line FROM documents),
-w AS MATERIALIZED (SELECT doc_id, no, line, list_filter(string_split_regex(lower(line), '[ \t\x0B\f\r]+'), lambda x: x <> '') AS ws FROM l),
-d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min((doc_id, no))) AS g, min((doc_id, no)) AS place, list_distinct(ws) AS s FROM w WHERE len(ws) >= 5 GROUP BY ws),
+w AS MATERIALIZED (SELECT doc_id, no, line, list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\x0B\f\r]+'), lambda x: x <> '') AS ws FROM l),
+d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min((doc_id, no))) AS g, min((doc_id, no)) AS place, list_distinct(ws) AS s FROM w WHERE len(ws) > 0 GROUP BY ws),
 t AS (SELECT g, unnest(s) AS tok, len(s) AS n FROM d),
 f AS (SELECT tok, count(*) AS df FROM t GROUP BY tok),
 r AS (SELECT g, n, tok, row_number() OVER (PARTITION BY g ORDER BY df, tok) AS pos FROM t JOIN f USING (tok)),
@@ -129,7 +129,7 @@ p AS MATERIALIZED (SELECT * FROM r WHERE pos <= n - ceil(0.8 * n - 1e-9) + 1),
 c AS (SELECT DISTINCT a.g AS a, b.g AS b FROM p a JOIN p b ON a.tok = b.tok AND a.g < b.g AND a.n >= 0.8 * b.n - 1e-9 AND b.n >= 0.8 * a.n - 1e-9),
 gone AS (SELECT DISTINCT c.b AS g FROM c JOIN d x ON x.g = c.a JOIN d y ON y.g = c.b WHERE len(list_intersect(x.s, y.s)) >= 0.8 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) - 1e-9),
 k AS (SELECT place FROM d WHERE g NOT IN (SELECT g FROM gone)),
-o AS (SELECT w.*, len(ws) < 5 OR (doc_id, no) IN (SELECT place FROM k) AS stays FROM w)
+o AS (SELECT w.*, len(ws) = 0 OR (doc_id, no) IN (SELECT place FROM k) AS stays FROM w)
 SELECT doc_id, count(*)::BIGINT AS n_lines, CASE WHEN coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (stays), '') = '' THEN 0 ELSE count(*) FILTER (stays) END::BIGINT AS n_kept,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (stays), '')) AS text_sha256 FROM o GROUP BY doc_id
 """

@@ -133,7 +133,7 @@ def test_components(spark, edges):
     assert got == {x: find(x) for x in parent}
 
 
-def brute_lines(docs, t=0.8, least=5):
+def brute_lines(docs, t=0.8, least=1):
     """(doc_id, text) in order of doc_id."""
     words = lambda line: [w for w in re.split(r"[ \t\x0B\f\r]+", line.lower()) if w]
     seen, sets, out = set(), [], {}
@@ -195,6 +195,29 @@ def test_line_dedup_long_lines(spark):
     assert got == brute_lines(docs) and got[2] == "" and got[3]
 
 
-def test_checks_use_no_python_on_the_line_path(spark):
-    plan = L.dedup_lines(frame(spark, ["a b c d e f"]).select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+@pytest.mark.parametrize("frequent,group", [(4, 8), (1, 1_000_000), (1_000_000, 3)])
+def test_line_dedup_frequent_words_and_large_groups(spark, monkeypatch, frequent, group):
+    """Pairs of frequent words, salted keys and groups too large to hold give what brute force gives."""
+    monkeypatch.setattr(L, "FREQUENT", frequent)
+    monkeypatch.setattr(L, "GROUP_ROWS", group)
+    rng = random.Random(frequent)
+    words = [f"w{i}" for i in range(14)]
+    base = [rng.choices(words, k=rng.randrange(1, 16)) for _ in range(30)]
+    docs = []
+    for i in range(120):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            w = list(rng.choice(base))
+            if rng.random() < 0.7:
+                w[rng.randrange(len(w))] = rng.choice(words)
+            lines.append(" ".join(w))
+        docs.append((i, "\n".join(lines)))
+    got = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_lines(docs)
+
+
+def test_line_dedup_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "a b c d e\nf g", "x", 1), (1, "a b c d e\nf g", "y", 2), (2, "F  G\n\n \t\nh", "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m_id string, uid int")
+    got = sorted(tuple(r) for r in L.dedup_lines(df).collect())
+    assert got == [(1, "a b c d e\nf g", "x", 1), (1, "a b c d e\nf g", "y", 2), (2, "\n \t\nh", "z", 3)] and L.dedup_lines(df).columns == df.columns
