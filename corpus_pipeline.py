@@ -31,8 +31,8 @@ def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of at least five words that an earlier line resembles; n_chars is that of the text left."""
-    found = line_dedup.dedup_lines(docs, similarity=0.8, min_words=5)
+    """All documents, without lines that an earlier line resembles; n_chars is that of the text left."""
+    found = line_dedup.dedup_lines(docs, similarity=0.8)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -44,10 +44,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with the checksum of their ids."""
+    """The pieces of the packed sequences, documents in order of their ids, with the checksum of the pieces' ids."""
     import public_tokenizers
 
-    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, length=2048)
+    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    pieces = packing.pack(ordered, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, length=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
