@@ -3,8 +3,8 @@
 A line is the set of its words (see words.py), each known by a 64-bit hash. Of equal lines only the first place counts
 (by document id, null ids last, then by line number). The words of a line are ordered by rarity: a count per hash
 bucket over the whole table, in a table of fixed size, ties by hash. Two lines can reach the similarity only if their
-prefixes in this order share a word whose positions leave enough words around it, and if their sizes are close; parity
-bits of the words bound the overlap further. Pairs that pass these filters are verified on all words. A line goes if an
+prefixes in this order share a word, the first of which has enough words from it on in both, and if their sizes are
+close; parity bits of the words bound the overlap further. Pairs that pass these filters are verified on all words. A line goes if an
 earlier line reaches the similarity, whether that one stays or not, or if it is a later copy.
 
 A frequent word doesn't stand for itself: lines that share only frequent words in their prefixes share two of them in
@@ -205,7 +205,7 @@ def _passing(g: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, t: float) -
     """Of the pairs (a, b) of rows those that pass the length, positional and parity filters, as a mask."""
     na, nb, pa_, pb = g["n"][a], g["n"][b], g["pos"][a], g["pos"][b]
     need = np.ceil(t / (1 + t) * (na + nb) - 1e-9)
-    ok = (na >= t * nb - 1e-9) & (nb >= t * na - 1e-9) & (np.minimum(na - pa_, nb - pb) + np.minimum(pa_, pb) >= need)
+    ok = (na >= t * nb - 1e-9) & (nb >= t * na - 1e-9) & (np.minimum(na - pa_, nb - pb) >= need)
     at = np.flatnonzero(ok)
     a, b = a[at], b[at]
     x = g["bits"][a] ^ g["bits"][b]
@@ -368,7 +368,7 @@ def _passes(a: str, b: str, t: float) -> str:
     """SQL: a before b, and the filters of _passing."""
     need = f"ceil({t} / (1 + {t}) * ({a}.n + {b}.n) - 1e-9)"
     return (
-        f"({a}.uid < {b}.uid OR ({a}.uid = {b}.uid AND {a}.no < {b}.no)) AND {a}.n >= {t} * {b}.n - 1e-9 AND {b}.n >= {t} * {a}.n - 1e-9 AND least({a}.n - {a}.pos, {b}.n - {b}.pos) + least({a}.pos, {b}.pos) >= {need}"
+        f"({a}.uid < {b}.uid OR ({a}.uid = {b}.uid AND {a}.no < {b}.no)) AND {a}.n >= {t} * {b}.n - 1e-9 AND {b}.n >= {t} * {a}.n - 1e-9 AND least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need}"
         f" AND ({a}.n + {b}.n - if({a}.n > {LONG} AND {b}.n > {LONG}, bit_count({a}.odd ^ {b}.odd) + bit_count({a}.bits ^ {a}.odd ^ {b}.bits ^ {b}.odd), bit_count({a}.bits ^ {b}.bits))) / 2 >= {need}"
     )
 
