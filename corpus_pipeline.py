@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import language_id, line_dedup, near_dedup, packing, toxicity
+from factloom.llm import language_id, line_dedup, near_dedup, packing, simhash, toxicity
 from factloom.llm.common import held_out, materialize
 
 #: Documents whose predicted language is less probable than this are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Ids, of numbers, up to which the rows to drop are broadcast; the join shuffles beyond.
+MOST_BROADCAST = 2_000_000
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +38,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+def _firsts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs whose id is the component_id of their class, or of that of another row with the id; the ids to go are broadcast while they are few."""
+    found = classes.select(F.col("doc_id").alias("f_id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))
+    gone = materialize(found.groupBy("f_id").agg(F.bool_or("first").alias("first")).where("NOT first").select("f_id"), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, F.col("doc_id").eqNullSafe(F.col("f_id")), "left_anti")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a Jaccard similarity of their five-word shingles of at least 0.8, the one with the least id; ids that repeat stay together."""
-    found = materialize(near_dedup.near_duplicates(docs, words=5, similarity=0.8).select(F.col("doc_id").alias("f_id"), "component_id"), "classes")
-    kept = found.where(F.col("f_id").eqNullSafe(F.col("component_id"))).select("f_id").distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("f_id")), "left_semi")
+    """Of the documents connected by SimHash fingerprints of their five-word shingles the one with the least id; then, as fingerprints tell only the nearest apart, of those connected by a Jaccard similarity of their shingles of at least 0.8."""
+    left = _firsts(docs, simhash.simhash_near_duplicates(docs, words=5))
+    return _firsts(left, near_dedup.near_duplicates(left, words=5, similarity=0.8))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
