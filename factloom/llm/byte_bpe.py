@@ -2,7 +2,8 @@
 
 The pre-tokenizer of such a file always cuts between a character that isn't white space and a following space,
 so a text is split there and each distinct piece is encoded once per worker (see Memo). Ids are those of
-Tokenizer.encode(text, add_special_tokens=False); files of another make are encoded without the split.
+Tokenizer.encode(text, add_special_tokens=False); files of another make are encoded without the split. Of many texts
+together, pieces are told apart by 64-bit hash, so that each different one is looked up once.
 """
 
 from __future__ import annotations
@@ -11,10 +12,15 @@ import json
 import re
 import struct
 
+import numpy as np
+
 from .memo import Memo
+from .words import piece_hashes
 
 #: After letters, a run of these is one pre-token up to white space.
 _MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^`{|}~'
+#: Ids of pieces that a worker keeps, about.
+MOST_IDS = 5_000_000
 _CUT = re.compile(r"(?<=\S) (?! )")
 
 
@@ -44,8 +50,10 @@ class ByteBPE:
         self.by_piece = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not added and spec.get("normalizer") is None and spec.get("post_processor") is None and spec["model"]["type"] == "BPE"
         self.table = str.maketrans({chr(i): c for i, c in enumerate(_byte_letters())})
         self.model = self.tokenizer.model
-        self.pieces = Memo(self._piece)
+        self.pieces = Memo(self._piece, 8 << 20)
         self.runs = Memo(self._word)
+        # Pieces seen, by sorted hash: where their ids begin in the arena, and how many there are.
+        self.keys, self.spans, self.arena, self.used = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64), np.zeros(0, "<u4"), 0
 
     def _ids(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -72,6 +80,66 @@ class ByteBPE:
         return self._ids(pieces[0]) + b"".join(map(self.pieces.__getitem__, pieces[1:])) if pieces[1:] else self._ids(pieces[0])
 
 
+    def _looked_up(self, hashes: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offset, count) in the arena of the ids of each piece; hashes are sorted. Pieces not seen yet are encoded; beyond MOST_IDS ids the arena starts anew."""
+        if self.used > MOST_IDS:
+            self.keys, self.spans, self.used = self.keys[:0], self.spans[:, :0], 0
+        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != hashes) if len(self.keys) else np.arange(len(hashes))
+        if len(new):
+            found = [self._known(data[s:e].decode()) for s, e in zip(starts[new].tolist(), ends[new].tolist())]
+            ids = np.frombuffer(b"".join(found), "<u4")
+            counts = np.array([len(x) >> 2 for x in found], np.int64)
+            if self.used + len(ids) > len(self.arena):
+                self.arena = np.concatenate([self.arena[: self.used], np.empty(len(ids) + len(self.arena) // 2 + 1024, "<u4")])
+            self.arena[self.used : self.used + len(ids)] = ids
+            spans = np.stack([np.cumsum(counts) - counts + self.used, counts])
+            self.used += len(ids)
+            into = np.searchsorted(self.keys, hashes[new])
+            self.keys, self.spans = np.insert(self.keys, into, hashes[new]), np.insert(self.spans, into, spans, axis=1)
+            at = np.searchsorted(self.keys, hashes)
+        return self.spans[0, at], self.spans[1, at]
+
+    def _known(self, piece: str) -> bytes:
+        """Of a piece that follows a space: a word and the marks after it are looked up apart, so that the memo holds words."""
+        stem = piece.rstrip(_MARKS)
+        return self.pieces[stem] + self.runs[piece[len(stem) :]] if stem != piece and stem.isalpha() else self.pieces[piece]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """encode of each text in UTF-8."""
+        plain = [self.by_piece and b"  " not in x for x in texts]
+        whole = [x for x, p in zip(texts, plain) if p]
+        if not whole:
+            return [self.encode(x.decode()) for x in texts]
+        data = b" ".join(whole)
+        space = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        starts, ends = np.concatenate([[0], space + 1]), np.append(space, len(data))
+        sizes = np.array([x.count(b" ") + 1 for x in whole], np.int64)
+        first = np.cumsum(sizes) - sizes
+        hashes = piece_hashes(data, starts, ends)
+        # The piece that opens a text follows no space: it stands for itself, by a number that no other hash may have.
+        hashes = np.maximum(hashes, np.uint64(len(first)))
+        hashes[first] = np.arange(len(first), dtype=np.uint64)
+        by = np.argsort(hashes)
+        new = np.ones(len(by), bool)
+        new[1:] = hashes[by[1:]] != hashes[by[:-1]]
+        which = np.empty(len(by), np.int64)
+        which[by] = np.cumsum(new) - 1
+        heads = by[new]
+        heads = heads[hashes[heads] >= len(first)]
+        offset, counts = self._looked_up(hashes[heads], data, starts[heads], ends[heads])
+        opening = [self._ids(data[s:e].decode()) for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+        table = np.concatenate([np.frombuffer(b"".join(opening), "<u4"), self.arena[: self.used]])
+        own = np.array([len(x) >> 2 for x in opening], np.int64)
+        offset, counts = np.concatenate([np.cumsum(own) - own, offset + own.sum()]), np.concatenate([own, counts])
+        many = counts[which]
+        stops = np.cumsum(many)
+        ids = table[np.arange(stops[-1]) + np.repeat(offset[which] - stops + many, many)]
+        last = stops[np.append(first[1:], len(which)) - 1]
+        encoded = iter([ids[a:b].tobytes() for a, b in zip(np.concatenate([[0], last[:-1]]).tolist(), last.tolist())])
+        return [next(encoded) if p else self.encode(x.decode()) for x, p in zip(texts, plain)]
+
+
 _loaded: dict[str, ByteBPE] = {}
 
 

@@ -7,7 +7,9 @@ is the front of a monotone queue. A window is padded to the full length unless i
 which costs nothing. The stream is handled in blocks; the last window of a block opens the next one, and what is
 left at the end of a partition is cut into powers of two, so nothing is dropped and memory stays bounded.
 
-Null and empty texts give the end id alone. An empty table gives no pieces. Repeated rows are packed each.
+Of cuts of equal cost the earlier window start wins, and a window of a power of two only if it is cheaper. Null and
+empty texts give the end id alone; null ids stay. A very long text is encoded whole and cut like any other. An empty
+table gives no pieces. Repeated rows are packed each. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import load
-from .common import slices, texts
+from .common import raw_texts, slices
 
 #: Penalties in tokens of padding: for ending a window inside a document at a sentence end, or inside a sentence; for each window.
 AT_SENTENCE, INSIDE, EACH = 2.0, 6.0, 1.0
@@ -57,21 +59,23 @@ def candidates(closes: np.ndarray, doc_ends: np.ndarray, gap: int = GAP) -> tupl
 def best_cuts(at: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
     """Window ends of least total cost: padding to length (none at a power of two) plus the penalty of each cut plus EACH."""
     pos, pen = at.tolist(), penalty.tolist()
-    powers = [1 << k for k in range(LEAST_POWER.bit_length() - 1, 30) if LEAST_POWER <= 1 << k < length]
-    index = {p: i for i, p in enumerate(pos)}
+    # Of each cut the earlier cuts that make a window of a power of two with it; most have none.
+    mates: dict[int, list[int]] = {}
+    for w in (1 << k for k in range(LEAST_POWER.bit_length() - 1, 30) if LEAST_POWER <= 1 << k < length):
+        k = np.minimum(np.searchsorted(at, at - w), len(at) - 1)
+        for j in np.flatnonzero(at[k] == at - w).tolist():
+            mates.setdefault(j, []).append(int(k[j]))
     cost, back = [0.0] * len(pos), [0] * len(pos)
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # (cost + position, position, index), increasing from the front
     fixed = length + EACH
-    find = index.get
     for j in range(1, len(pos)):
         p = pos[j]
         while p - queue[0][1] > length:
             queue.popleft()
         g, _, i = queue[0]
         best = g + fixed - p
-        for w in powers:
-            k = find(p - w)
-            if k is not None and cost[k] + EACH < best:
+        for k in mates.get(j, ()):
+            if cost[k] + EACH < best:
                 best, i = cost[k] + EACH, k
         best += pen[j]
         cost[j], back[j] = best, i
@@ -148,9 +152,9 @@ def _packer(path: str, end_id: int, length: int, id_type: pa.DataType):
             n -= stop
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                for name, text in zip(part.column("id").to_pylist(), texts(part.column("text"))):
-                    ids = encoder.encode(text) + end
+            for part in slices(batch, "text", rows=8192, most=2 << 20):
+                for name, ids in zip(part.column("id").to_pylist(), encoder.encode_all(raw_texts(part.column("text")))):
+                    ids += end
                     names.append(name)
                     held.append(ids)
                     before.append(0)

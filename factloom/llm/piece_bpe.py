@@ -65,9 +65,9 @@ class PieceBPE:
         self.text = [p for p, _, _ in self.pieces]
         #: Neighbours that occur in some piece; characters outside the vocabulary are in none.
         self.inside = {p[i : i + 2] for p in self.own for i in range(len(p) - 1)}
-        self.pairs = Memo(self._fits, 500_000)
-        self.parts = Memo(self._part, 100_000)
-        self.words = Memo(self._word, 200_000)
+        self.pairs = Memo(self._fits, 64 << 20)
+        self.parts = Memo(self._part, 24 << 20)
+        self.words = Memo(self._word, 64 << 20)
         self.out = [bytes([int(p[3:5], 16)]) if k == _BYTE else b"" if k == _CONTROL else b" \xe2\x81\x87 " if k == _UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in self.pieces]
         self.control = {i for i, (_, _, k) in enumerate(self.pieces) if k == _CONTROL}
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import load
-from .common import fresh_dir, materialize, slices, texts
+from .common import fresh_dir, materialize, raw_texts, slices
 
 #: Sequences in a record batch.
 BATCH = 128
@@ -97,13 +97,13 @@ def _writer(path: str, out: str, end_id: int, length: int, id_type: pa.DataType)
         held: list[np.ndarray] = []
         n = n_docs = n_tokens = n_sequences = 0
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", rows=8192, most=2 << 20):
                 if sink is None:
                     sink, docs_sink = fs.open_output_stream(f"{passing}.ids"), fs.open_output_stream(f"{passing}.docs")
                     writer, docs_writer = pa.ipc.new_stream(sink, schema), pa.ipc.new_stream(docs_sink, docs_schema)
                 counts = []
-                for text in texts(rows.column("text")):
-                    ids = np.frombuffer(encoder.encode(text) + end, dtype="<u4").astype(dtype)
+                for encoded in encoder.encode_all(raw_texts(rows.column("text"))):
+                    ids = np.frombuffer(encoded + end, dtype="<u4").astype(dtype)
                     counts.append(len(ids))
                     held.append(ids)
                     n += len(ids)

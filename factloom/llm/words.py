@@ -45,6 +45,25 @@ def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
+def piece_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each piece data[start:end]; pieces are in order and don't overlap."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        begin = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, begin + PIECE, "right")))
+        b = np.frombuffer(data, np.uint8, int(ends[stop - 1]) - begin, begin)
+        size = PIECE
+        while size < len(b):
+            size *= 2
+        up, down = _powers(size)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b + np.uint64(1)) * up[: len(b)])])
+        s, e = starts[at:stop] - begin, ends[at:stop] - begin
+        out[at:stop] = mixed((sums[e] - sums[s]) * down[np.minimum(s, size - 1)] + (e - s).astype(np.uint64))
+        at = stop
+    return out
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, starts): of every word of data the hash and the place of its first byte, in order."""
     data, hashes, places, begin = data.translate(_LOWER), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0

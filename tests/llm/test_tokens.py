@@ -47,11 +47,11 @@ def test_piece_bpe():
 
 
 def test_memo_forgets_but_stays_right():
-    m = memo.Memo(lambda k: k * 2, 3)
+    m = memo.Memo(lambda k: k * 2, 200_000)
     rng = random.Random(0)
-    for _ in range(500):
-        k = rng.randrange(20)
-        assert m[k] == 2 * k and len(m) <= 3 and len(m.old) <= 3
+    for _ in range(20_000):
+        k = rng.randrange(5000)
+        assert m[k] == 2 * k and len(m) <= 1300 and len(m.old) <= 1300
 
 
 def test_round_trip(spark):
@@ -141,3 +141,18 @@ def test_token_files(spark, tmp_path):
     assert seen == stream
     empty = token_files.write_token_files(frame(spark, []), BYTE, out=str(tmp_path / "none"))
     assert token_files.read_token_files(empty, "bigint").count() == 0
+
+
+def test_texts_together_as_alone(monkeypatch):
+    """encode_all gives what encode and the library give, whatever the arena forgets."""
+    from factloom.llm import byte_bpe
+
+    coder = byte_bpe.ByteBPE(BYTE)
+    library = Tokenizer.from_file(BYTE)
+    values = [*texts(300, 5, 60), "", " ", "  ", " a", "a ", "a  b", "\n a", "x" * 5000, "é ü " * 500]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in values]
+    assert coder.encode_all([t.encode() for t in values]) == want
+    monkeypatch.setattr(byte_bpe, "MOST_IDS", 100)
+    for k in range(0, len(values), 7):
+        assert coder.encode_all([t.encode() for t in values[k : k + 7]]) == want[k : k + 7]
+    assert coder.encode_all([]) == []
