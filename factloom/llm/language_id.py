@@ -147,11 +147,17 @@ def _sample_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
             )
 
 
+#: Labels that one model can tell apart, and rows drawn of each at least.
+MOST_LABELS, LEAST_ROWS = 5000, 10
+
+
 def fit(docs: DataFrame, learnable: Column, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> LanguageModel:
-    """Learn from the rows where learnable holds. sample bounds (in expectation, by a hash of the id) the rows trained on, shared evenly by the labels; one in five of them calibrates."""
+    """Learn from the rows where learnable holds. sample bounds (in expectation, by a hash of the id) the rows trained on, shared evenly by the labels, of which each gets LEAST_ROWS at least; one in five of them calibrates. Every label is learned; more than MOST_LABELS raise an error."""
     rows = docs.where(learnable).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(sample // 10).collect()}
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()}
     labels = sorted(counts)
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     if not labels:
         return LanguageModel([], np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 0)), 1.0)
     frequency = rows.select("text").mapInArrow(_count_features, "column long, n long").groupBy("column").agg(F.sum("n").alias("n"))
@@ -159,7 +165,7 @@ def fit(docs: DataFrame, learnable: Column, sample: int = 3000, id_col: str = "d
     idf, total = np.zeros(BUCKETS), df.pop(-1, 0)
     for column, n in df.items():
         idf[column] = np.log((1 + total) / (1 + n)) + 1
-    share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, sample / len(labels) / n))])
+    share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, max(sample / len(labels), LEAST_ROWS) / n))])
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     drawn = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("label")] * (1 << 30)).select("label", "draw", "text")
     found = drawn.mapInArrow(_sample_features, "label string, draw long, at binary, n binary").collect()
@@ -173,7 +179,8 @@ def fit(docs: DataFrame, learnable: Column, sample: int = 3000, id_col: str = "d
 
 
 def predict(rows: DataFrame, model: LanguageModel, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """rows with the predicted label and its calibrated probability added, as the columns out."""
+    """rows with the predicted label and its calibrated probability added, as the columns out, in the place of columns of these names. Of equal probabilities the first label by name wins."""
+    rows = rows.drop(*out)
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in rows.schema]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
