@@ -124,6 +124,26 @@ def is_git_url(x: Column) -> Column:
     return x.rlike(r"^(https?://|git@|ssh://)")
 
 
+def leading_name(x: Column) -> Column:
+    """Lower case without underscores at the start."""
+    return F.lower(F.ltrim(x, F.lit("_")))
+
+
+def with_token(url: Column, token: Column) -> Column:
+    """A token put into an https URL; other URLs as they are."""
+    return F.when(F.startswith(url, F.lit("https://")) & (F.coalesce(token, F.lit("")) != ""), F.concat(F.lit("https://"), token, F.lit("@"), F.substring(url, 9, 10_000))).otherwise(url)
+
+
+def backoff(base: Column, attempt: Column) -> Column:
+    """Seconds to wait before the next attempt, doubled with each."""
+    return base * F.pow(F.lit(2.0), attempt - 1)
+
+
+def image_name(x: Column) -> Column:
+    """The last path part of an image reference, before the first colon."""
+    return F.element_at(F.split(F.regexp_extract(x, "^([^:]*)", 1), "/"), -1)
+
+
 def json_slice(x: Column) -> Column:
     """From the first opening to the last closing bracket of a text, code fences stripped; the text if there are none."""
     bare = F.regexp_replace(x, r"(?m)^```[a-zA-Z]*\s*$", "")

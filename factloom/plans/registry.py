@@ -34,4 +34,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["redundant_trade_links"](spark, sf_dir)
 
 
-from . import aggregate_queries, fact_queries, graph_queries, join_queries, model_queries, rank_queries, text_queries  # noqa: E402, F401
+from . import aggregate_queries, architecture_queries, fact_queries, graph_queries, join_queries, model_queries, rank_queries, text_queries  # noqa: E402, F401
