@@ -28,6 +28,7 @@ STORES = ("datastore", "cache", "queue")
 GATEWAY = r"(api[-_]?gateway|gateway|bff|edge[-_]?proxy|ingress)"
 PRESENTATION = r"(frontend|web[-_]?app|web[-_]?ui|webui|\bui\b|spa|portal|dashboard)"
 ENTRYPOINT = r"(frontend|api[-_]?gateway|gateway|bff|web[-_]?app|web[-_]?ui|spa|edge[-_]?proxy)"
+WORKER = r"(load[-_]?gen|benchmark|stress[-_]?test|[-_]worker|worker[-_]|consumer|scheduler|cron|batch|sidekiq|celery)"
 ENTRY_WORDS = ("frontend", "api-gateway", "apigateway", "gateway", "bff", "web-app", "webapp", "web-ui", "webui", "spa", "edge")
 #: Names of load generators, observability and registry containers.
 OPERATIONAL = (
@@ -405,6 +406,43 @@ def merge(model: Model, nodes: DataFrame) -> Model:
     return replace(model, nodes=model.nodes.unionByName(nodes.withColumn("slug", slug_word(F.col("id"))).join(taken, "slug", "left_anti").drop("slug")))
 
 
+def merge_orchestration(model: Model, services: DataFrame) -> Model:
+    """Add a node for each service and workload (see sources.orchestration) whose slug isn't taken: a store by its image, a worker by its kind or name, else a service. Auxiliary services are left out; of equal names the first."""
+    from ..sources.orchestration import image_store, service_id
+
+    last = model.nodes.agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0]
+    asked = services.where("source IN ('compose', 'workload') AND NOT coalesce(auxiliary, false)").withColumn("id", service_id(F.col("name")))
+    first = first_seen(asked, ["id"], [F.col("source"), F.col("file"), F.col("doc"), F.col("name")])
+    taken = model.nodes.select(service_id(F.col("id")).alias("id"))
+    new = first.join(taken, "id", "left_anti").withColumn("store", image_store(F.col("image")))
+    kind = F.coalesce(F.col("store.kind"), F.when(F.col("kind").isin("Job", "CronJob") | F.col("name").rlike(f"(?i){WORKER}"), "worker").otherwise("service"))
+    none = F.lit(None).cast("string")
+    number = F.row_number().over(Window.orderBy("source", "file", "doc", "name")) + last
+    rows = new.select("id", F.coalesce("store.label", "name").alias("label"), kind.alias("kind"), none.alias("tech"), none.alias("description"), none.alias("grp"), F.col("build_dir").alias("path"), none.alias("layer"), none.alias("role"), number.cast("long").alias("ord"))
+    return replace(model, nodes=model.nodes.unionByName(rows))
+
+
+def communicate(model: Model, services: DataFrame, owned: DataFrame | None = None) -> Model:
+    """Edges from what services ask of each other, between known nodes: hosts in the environment of workloads (containers and stores), then dependencies of compose services, then owned (src, dst, label) ties to infrastructure, then from each web application to the gateway, else to the primary service. Of equal pairs the first; then the budget."""
+    from ..sources.orchestration import service_id
+
+    known = model.nodes.select(F.col("id").alias("dst"), "kind")
+    asked = services.where("NOT coalesce(auxiliary, false)").select("source", service_id(F.col("name")).alias("src"), F.posexplode("refs").alias("at", "ref")).withColumn("dst", service_id(F.col("ref"))).join(known, "dst")
+    store, inner = F.col("kind").isin(*STORES), F.col("kind").isin(*CONTAINERS)
+    label = F.when(store, "reads/writes").otherwise("calls")
+    by_host = asked.where((F.col("source") == "workload") & (store | inner)).select(F.lit(1).alias("way"), "src", "dst", label.alias("label"), "at")
+    by_need = asked.where("source = 'compose'").select(F.lit(2).alias("way"), "src", "dst", label.alias("label"), "at")
+    new = by_host.unionByName(by_need)
+    if owned is not None:
+        new = new.unionByName(owned.select(F.lit(3).alias("way"), "src", "dst", "label", F.lit(0).alias("at")))
+    front = gateway(model) or primary(model)
+    if front:
+        new = new.unionByName(model.nodes.where("kind = 'web_app'").select(F.lit(4).alias("way"), F.col("id").alias("src"), F.lit(front).alias("dst"), F.lit("calls API").alias("label"), F.lit(0).alias("at")))
+    valid = graph.without_dangling(new.where("src <> dst"), model.nodes.select(F.col("id").alias("node")))
+    fresh = first_seen(valid, ["src", "dst"], [F.col("way"), F.col("at"), F.col("label")]).join(model.edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    return hard_budget(model.adding(fresh.withColumn("ord", F.row_number().over(Window.orderBy("way", "src", "at", "dst")).cast("long"))).written())
+
+
 def hard_budget(model: Model, containers: int = 64, total: int = 96) -> Model:
     """The containers of most edges, all stores and people, then externals by edges, up to the caps; distinct edges between them without loops, the first declared of equal ones."""
     ends = model.edges.select(F.col("src").alias("id")).unionByName(model.edges.select(F.col("dst").alias("id")))

@@ -108,6 +108,24 @@ def hld_nodes(spark, sf_dir):
     return M.hld(start(spark, sf_dir), DENY).nodes.select("id", "label", "kind", "layer", "role", "grp")
 
 
+_ASKED = f"""{Q.chained()[0].rstrip(', ')}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM trade), a AS (SELECT 'n' || src AS s, 'n' || dst AS d, CASE WHEN src % 2 = 0 THEN 1 ELSE 2 END AS way FROM r WHERE r <= 3
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 2 END FROM nation UNION ALL SELECT id, (SELECT id FROM n0 WHERE kind IN ('web_app', 'service', 'worker') AND {Q.LAYER} = 'gateway' ORDER BY ord LIMIT 1), 4 FROM n0 WHERE kind = 'web_app'),
+f AS (SELECT s, d, min(way) AS way FROM a WHERE s <> d AND (s, d) NOT IN (SELECT (src, dst) FROM e0) GROUP BY ALL),
+n AS (SELECT id FROM n0 WHERE kind <> 'module'), w AS (SELECT src, dst, label FROM e0 UNION ALL SELECT s, d, CASE WHEN way = 4 THEN 'calls API' WHEN d LIKE 'r%' THEN 'reads/writes' ELSE 'calls' END FROM f)
+SELECT * FROM w WHERE src <> dst AND src IN (FROM n) AND dst IN (FROM n)"""
+
+
+@register(_ASKED)
+def communication_edges(spark, sf_dir):
+    """Nations of even keys as workloads, the others as compose services, which ask for the three nations that they trade most with and for their region."""
+    model = start(spark, sf_dir)
+    ranked = trade(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))).where("r <= 3")
+    refs = ranked.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "dst"))), lambda x: F.concat(F.lit("n"), x["dst"].cast("string"))).alias("refs"))
+    nation = table(spark, sf_dir, "nation").join(refs, F.col("n_nationkey") == F.col("src"), "left")
+    asked = nation.select(F.when(F.col("n_nationkey") % 2 == 0, "workload").otherwise("compose").alias("source"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.lit(False).alias("auxiliary"), F.concat(F.coalesce("refs", F.array().cast("array<string>")), F.array(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))).alias("refs"))
+    return M.communicate(model, asked).edges.select("src", "dst", "label")
+
+
 def _validate_sql() -> str:
     ctes, n = Q.chained(Q.enforce_kinds)
     return f"""{ctes}, s AS (SELECT kind, id IN (SELECT src FROM e{n} UNION SELECT dst FROM e{n}) AS tied FROM n{n}),

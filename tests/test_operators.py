@@ -144,3 +144,29 @@ def test_curate_edges(spark):
 def test_path_domain(spark):
     for path, want in (("src/modules/a/b", "modules"), ("services/cart", None), ("runner", None), ("src\\common\\ui", "common"), ("", None), (None, None), ("./src/lib/x", None)):
         assert spark.range(1).select(T.path_domain(F.lit(path).cast("string")).alias("x")).first()["x"] == want, path
+
+
+def test_orchestration(spark):
+    from factloom.sources import orchestration as O
+
+    files = {
+        "docker-compose.yml": "services:\n  web:\n    build: {context: ./web}\n    depends_on: [api, db]\n  api:\n    image: shop/api:1\n    links: ['db:database']\n  db: {image: 'registry/postgres:16'}\n  tool: {image: x, profiles: [dev]}\n",
+        "k8s/api.yaml": "kind: Deployment\nmetadata: {name: cart-api}\nspec:\n  template:\n    spec:\n      containers:\n      - image: a\n        env:\n        - {name: A, value: 'http://api.ns.svc:80/x'}\n        - {name: B, value: 'db:5432'}\n        - {name: C, valueFrom: {}}\n        - {name: D, value: '1'}\n---\nkind: Service\nmetadata: {name: api}\n---\nkind: CronJob\nmetadata: {name: sweep}\n",
+        "Procfile": "web: run\n# no: x\n",
+        "bad.yml": "a: [",
+        "node_modules/x.yaml": "kind: Job\nmetadata: {name: j}\n",
+        "svc/Dockerfile": "FROM x",
+        "svc/requirements.txt": "flask",
+        "svc/pom.xml": "<project/>",
+    }
+    df = spark.createDataFrame(list(files.items()), "file string, text string")
+    rows = {(r["source"], r["name"]): r for r in O.orchestration(df).collect()}
+    assert set(rows) == {("compose", x) for x in ("web", "api", "db", "tool")} | {("workload", "cart-api"), ("workload", "sweep"), ("service", "api"), ("process", "web")}
+    assert rows["compose", "web"]["refs"] == ["api", "db"] and rows["compose", "api"]["refs"] == ["db"] and rows["compose", "tool"]["auxiliary"] and rows["compose", "web"]["build_dir"] == "./web"
+    assert rows["workload", "cart-api"]["refs"] == ["api", "db"]
+    assert [r["dir"] for r in O.dockerfile_dirs(df).collect()] == ["svc"] and [r["file"] for r in O.manifest_files(df).collect()] == ["svc/pom.xml"]
+    empty = model.Model(spark.createDataFrame([], model.NODE_SCHEMA), spark.createDataFrame([], model.EDGE_SCHEMA))
+    merged = model.merge_orchestration(empty, O.orchestration(df))
+    assert {(r["id"], r["kind"]) for r in merged.nodes.collect()} == {("web", "service"), ("api", "service"), ("db", "datastore"), ("cart_api", "service"), ("sweep", "worker")}
+    tied = {(r["src"], r["dst"], r["label"]) for r in model.communicate(merged, O.orchestration(df)).edges.collect()}
+    assert tied == {("web", "api", "calls"), ("web", "db", "reads/writes"), ("api", "db", "reads/writes"), ("cart_api", "api", "calls"), ("cart_api", "db", "reads/writes")}
