@@ -95,12 +95,13 @@ def rarity(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"block": pa.array([no], pa.int32()), "counts": pa.array([pa.compress(counts.tobytes(), codec="zstd", asbytes=True)], pa.binary())})
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(RARITY_BUCKETS, np.int64)
+        counts = np.zeros(RARITY_BUCKETS, np.uint32)
         for batch in batches:
             for part in slices(batch, "text", most=TEXT_BYTES):
                 hashes, _ = word_hashes(b"\n".join(raw_texts(part.column("text"))))
-                counts += np.bincount((hashes & np.uint64(RARITY_BUCKETS - 1)).astype(np.int64), minlength=RARITY_BUCKETS)
-        yield from packed((i, x) for i, x in enumerate(counts.reshape(-1, RARITY_BLOCK)) if x.any())
+                at, n = np.unique((hashes & np.uint64(RARITY_BUCKETS - 1)).astype(np.int32), return_counts=True)
+                counts[at] += n.astype(np.uint32)
+        yield from packed((i, x.astype(np.int64)) for i, x in enumerate(counts.reshape(-1, RARITY_BLOCK)) if x.any())
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}

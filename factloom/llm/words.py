@@ -11,7 +11,7 @@ import functools
 import numpy as np
 
 #: Bytes hashed at once; a longer word is hashed at once all the same.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _BASE = 0x9E3779B97F4A7C15
