@@ -44,7 +44,7 @@ LONG = 64
 BROADCAST_BYTES = 48 << 20
 #: Bytes of text hashed, and pairs compared, at once in a task.
 TEXT_BYTES = 1 << 20
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 17
 #: part: the key, or the key with a salt where it may be large; rows are dealt and sorted by it alone.
 _ROW = "part long, key long, uid long, no int, n int, pos int, bits long, odd long"
 _MEMBER = ("key", "uid", "no", "n", "pos", "bits", "odd")
