@@ -24,7 +24,7 @@ kept, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +87,8 @@ class _Lines:
         self.first = np.cumsum(self.counts) - self.counts
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """By hash bucket a class from 0 (no word) to 126, which grows with the number of words in it; class 1 holds one word alone. Each task counts into blocks of buckets, which are summed as they arrive."""
+def rarity(rows: DataFrame, hashed: Callable[[list[bytes]], np.ndarray] = lambda x: word_hashes(b"\n".join(x))[0]) -> np.ndarray:
+    """By hash bucket a class from 0 (no word) to 126, which grows with the number of words in it; class 1 holds one word alone. Each task counts into blocks of buckets, which are summed as they arrive. hashed: the hashes to count of some texts, of their words if not given."""
 
     def packed(blocks: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for no, counts in blocks:
@@ -98,7 +98,7 @@ def rarity(rows: DataFrame) -> np.ndarray:
         counts = np.zeros(RARITY_BUCKETS, np.uint32)
         for batch in batches:
             for part in slices(batch, "text", most=TEXT_BYTES):
-                hashes, _ = word_hashes(b"\n".join(raw_texts(part.column("text"))))
+                hashes = hashed(raw_texts(part.column("text")))
                 at, n = np.unique((hashes & np.uint64(RARITY_BUCKETS - 1)).astype(np.int32), return_counts=True)
                 counts[at] += n.astype(np.uint32)
         yield from packed((i, x.astype(np.int64)) for i, x in enumerate(counts.reshape(-1, RARITY_BLOCK)) if x.any())

@@ -1,12 +1,13 @@
 """Near-duplicate classes by the exact Jaccard similarity of word shingles.
 
 A text is the set of its shingles (runs of so many words, or all words of a shorter text), each a 64-bit hash (see
-words.py); equal sets, told apart by a 64-bit hash too, count once. Sets are ordered by hash. Two sets can reach the
-similarity only if their prefixes, as many hashes as may differ and one more, have one in common, and prefixes longer by
+words.py); equal sets, told apart by a 64-bit hash too, count once. Sets are ordered by the rarity of their hashes (a
+count per bucket of hashes over the whole table), ties by hash, so that passages of many texts stand last. Two sets can
+reach the similarity only if their prefixes, as many hashes as may differ and one more, have one in common, and prefixes longer by
 some have so many more in common. So a table of bits of fixed size first tells, by hash, which hashes stand in two
 prefixes; a set with too few of them has no partner. What is left is small. Each hash pairs its sets with the least of
 them; what then is not connected but shares a hash is compared in a second round. Pairs pass a length and a positional
-filter and are verified on whole sets. Verified pairs become classes by distributed components.
+filter and are verified on whole sets, each pair once. Verified pairs become classes by distributed components.
 
 Null texts are empty; empty texts are alike. Null ids are never the least of a class unless it has no other. Repeated
 rows each give a row. A very long text is handled whole. An empty table gives an empty result. Other columns are not
@@ -25,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialize, raw_texts, slices
 from .components import components
+from .line_dedup import rarity
 from .words import hashed_texts, mixed
 
 #: Bits of the table of hashes that stand in two prefixes (a power of two); hashes that one task handles on average.
@@ -42,27 +44,34 @@ def _small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def _shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every shingle, in order of the texts."""
+    hashes, sizes = hashed_texts(texts)
+    ends = np.cumsum(sizes)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(hashes)) - np.repeat(ends - sizes, sizes)
+    size = np.minimum(sizes, words)[doc]
+    chain = found = mixed(hashes + np.uint64(1))
+    for k in range(2, words + 1):
+        # A chain that begins before its text is never read.
+        chain = np.concatenate([chain[:1], mixed(chain[:-1] * np.uint64(0x9FB21C651E98DF25) + hashes[1:])])
+        found = np.where(size == k, chain, found)
+    full = place >= size - 1
+    return doc[full], found[full]
+
+
 class _Sets:
-    """The shingle sets of some texts: all hashes in a row, sorted within each text; begin and n of each text."""
-
-    def __init__(self, texts: list[bytes], words: int):
-        hashes, sizes = hashed_texts(texts)
-        ends = np.cumsum(sizes)
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        place = np.arange(len(hashes)) - np.repeat(ends - sizes, sizes)
-        size = np.minimum(sizes, words)[doc]
-        chain = found = mixed(hashes + np.uint64(1))
-        for k in range(2, words + 1):
-            # A chain that begins before its text is never read.
-            chain = np.concatenate([chain[:1], mixed(chain[:-1] * np.uint64(0x9FB21C651E98DF25) + hashes[1:])])
-            found = np.where(size == k, chain, found)
-        full = place >= size - 1
-        doc, found = doc[full], found[full]
+    """The shingle sets of some texts: all hashes in a row, those of a text by their class in codes (if given), then by hash; begin and n of each text."""
+
+    def __init__(self, texts: list[bytes], words: int, codes: np.ndarray | None = None):
+        doc, found = _shingles(texts, words)
         by = np.lexsort((found, doc))
         doc, found = doc[by], found[by]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
         self.doc, self.hashes = doc[new], found[new]
+        if codes is not None:
+            self.hashes = self.hashes[np.argsort(self.doc * 128 + codes[(self.hashes & np.uint64(len(codes) - 1)).astype(np.int64)], kind="stable")]
         self.n = np.bincount(self.doc, minlength=len(texts))
         self.begin = np.cumsum(self.n) - self.n
         self.pos = np.arange(len(self.doc)) - self.begin[self.doc]
@@ -89,7 +98,7 @@ def _at(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - TABLE_BITS.bit_length() + 1)).astype(np.int64)
 
 
-def _twice(rows: DataFrame, words: int, similarity: float) -> np.ndarray:
+def _twice(rows: DataFrame, words: int, similarity: float, codes: np.ndarray) -> np.ndarray:
     """The table of bits, in bytes: by hash, whether it stands in two long prefixes (of different places of the table)."""
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +121,7 @@ def _twice(rows: DataFrame, words: int, similarity: float) -> np.ndarray:
 
         for batch in batches:
             for part in slices(batch, "text", most=TEXT_BYTES):
-                sets = _Sets(raw_texts(part.column("text")), words)
+                sets = _Sets(raw_texts(part.column("text")), words, codes)
                 held.append(sets.hashes[sets.pos < (sets.prefix(similarity) + sets.more())[sets.doc]])
                 if sum(map(len, held)) >= CHUNK_HASHES:
                     yield sent()
@@ -147,12 +156,12 @@ def _twice(rows: DataFrame, words: int, similarity: float) -> np.ndarray:
     return bits.reshape(-1)
 
 
-def _sets(rows: DataFrame, words: int, similarity: float, table: np.ndarray | None = None) -> DataFrame:
+def _sets(rows: DataFrame, words: int, similarity: float, table: np.ndarray | None = None, codes: np.ndarray | None = None) -> DataFrame:
     """(id, key, n, hashes, pos) of (id, text): the key and the size of each text's set; of its prefix the hashes that the table tells of and their places, if the set can have a partner. Without a table the whole set."""
     kind = to_arrow_type(rows.schema["id"].dataType)
 
     def made(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = _Sets(raw_texts(part.column("text")), words)
+        sets = _Sets(raw_texts(part.column("text")), words, codes)
         if table is None:
             hit = np.ones(len(sets.doc), bool)
         else:
@@ -188,32 +197,34 @@ def _whole(keys: DataFrame, rows: DataFrame, found: DataFrame, words: int, simil
     return materialize(whole.dropDuplicates(["key"]), "sets")
 
 
+def _verified(pairs: DataFrame, rows: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose whole sets reach the similarity."""
+    sets = _whole(pairs.selectExpr("a AS key").unionByName(pairs.selectExpr("b AS key")), rows, found, words, similarity)
+    both = pairs.join(sets.selectExpr("key AS a", "set AS sa"), "a").join(sets.selectExpr("key AS b", "set AS sb"), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
+    return materialize(both.where(f"shared >= {similarity} * (total - shared) - 1e-9").select("a", "b"), "verified")
+
+
 def similar_sets(rows: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): the keys of pairs of sets that reach the similarity, enough of them to connect all that do. rows: (id, text); found: their sets with the hashes told of."""
     prefix = materialize(found.where("size(hashes) > 0").dropDuplicates(["key"]).select("key", "n", F.explode(F.arrays_zip("hashes", "pos")).alias("x")).select(F.col("x.hashes").alias("h"), "key", "n", F.col("x.pos").alias("pos")), "prefixes")
     heads = prefix.groupBy("h").agg(F.min(F.struct("key", "n", "pos")).alias("a"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     near = materialize(prefix.alias("b").join(heads, "h").where(f"b.key <> a.key AND {_passes(similarity)}").selectExpr("a.key AS a", "b.key AS b").distinct(), "pairs")
-    sets = _whole(near.selectExpr("a AS key").unionByName(near.selectExpr("b AS key")), rows, found, words, similarity)
-    both = near.join(sets.selectExpr("key AS a", "set AS sa"), "a").join(sets.selectExpr("key AS b", "set AS sb"), "b")
-    same = f"size(array_intersect({{0}}, {{1}})) >= {similarity} * (size({{0}}) + size({{1}}) - size(array_intersect({{0}}, {{1}}))) - 1e-9"
-    first = materialize(both.where(same.format("sa", "sb")).select("a", "b"), "verified")
+    first = _verified(near, rows, found, words, similarity)
     reached = components(first).select(F.col("node").alias("key"), "component")
     placed = materialize(prefix.join(heads.select("h"), "h", "left_semi").join(reached, "key", "left").select("h", "key", "n", "pos", F.coalesce("component", "key").alias("component")), "placed")
     apart = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
     left = materialize(placed.join(apart, "h", "left_semi"), "apart")
-    # The second round verifies as it joins, on the sets of what passes the filters with something.
     passes = f"a.h = b.h AND a.key < b.key AND a.component <> b.component AND {_passes(similarity)}"
-    a = materialize(left.alias("a").join(left.alias("b"), F.expr(passes), "left_semi"), "a_side")
-    b = materialize(left.alias("b").join(a.alias("a"), F.expr(passes), "left_semi"), "b_side")
-    sets = _whole(a.select("key").unionByName(b.select("key")), rows, found, words, similarity)
-    joined = a.join(sets, "key").alias("a").join(b.join(sets, "key").alias("b"), F.expr(f"{passes} AND {same.format('a.set', 'b.set')}"))
-    return first.unionByName(materialize(joined.selectExpr("a.key AS a", "b.key AS b").distinct(), "verified"))
+    again = left.alias("a").join(left.alias("b"), F.expr(passes)).selectExpr("a.key AS a", "b.key AS b").distinct()
+    return first.unionByName(_verified(materialize(again, "pairs"), rows, found, words, similarity))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, component_id (the least id of the rows connected by pairs that reach the similarity)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = materialize(_sets(rows, words, similarity, _twice(rows, words, similarity)), "shingles")
+    codes = rarity(rows, lambda x: _shingles(x, words)[1])
+    found = materialize(_sets(rows, words, similarity, _twice(rows, words, similarity, codes), codes), "shingles")
     reached = components(similar_sets(rows, found, words, similarity))
     joined = found.select("id", "key").join(reached, F.col("key") == F.col("node"), "left").select("id", F.coalesce("component", "key").alias("component"))
     firsts = joined.groupBy("component").agg(F.min("id").alias("component_id"))

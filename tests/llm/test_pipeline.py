@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from factloom.llm import near_dedup
 from factloom.llm.common import materialize
 
 
@@ -55,3 +56,22 @@ def test_near_duplicates_reach_the_similarity(spark):
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert got == {i for i, x in enumerate(part) if i == x}
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_pairs_are_verified_once(spark, monkeypatch):
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(150)]
+    texts = []
+    for _ in range(60):  # a passage that all share, and as many words of their own
+        own = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        texts += [own + common, [*own[:-1], "x", *common]]
+    for _ in range(20):  # a common beginning, too little for the similarity; two by two near each other
+        own = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+        texts += [common[:60] + own, common[:60] + own[:-8]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    seen = []
+    verified = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *rest: (seen.append([tuple(r) for r in pairs.collect()]), verified(pairs, *rest))[1])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+    assert all(len(x) == len(set(x)) for x in seen) and sum(map(len, seen)) < 400  # of 12720 pairs that share hashes
