@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -221,3 +222,38 @@ def test_line_dedup_clashing_columns_and_repeated_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, m_id string, uid int")
     got = sorted(tuple(r) for r in L.dedup_lines(df).collect())
     assert got == [(1, "a b c d e\nf g", "x", 1), (1, "a b c d e\nf g", "y", 2), (2, "\n \t\nh", "z", 3)] and L.dedup_lines(df).columns == df.columns
+
+
+@pytest.mark.parametrize("held", [1, 40])
+def test_line_dedup_buckets_beyond_memory(spark, monkeypatch, held):
+    """Rows of a bucket that isn't held whole lose no pair."""
+    monkeypatch.setattr(L, "HELD_ROWS", held)
+    monkeypatch.setattr(L, "SENT_ROWS", 25)
+    rng = random.Random(held)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.choices(words, k=rng.randrange(2, 16)) for _ in range(25)]
+    docs = []
+    for i in range(90):
+        w = list(rng.choice(base))
+        w[rng.randrange(len(w))] = rng.choice(words)
+        docs.append((i, " ".join(w) + "\n" + " ".join(rng.choice(base))))
+    got = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_lines(docs)
+
+
+def test_line_dedup_sends_few_bytes():
+    """The rows that are shuffled take under 22 bytes each, and all of them are read again."""
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.5))}" for _ in range(20_000)]
+    texts = ["\n".join(" ".join(rng.choices(words, k=rng.randrange(5, 20))) for _ in range(10)) for _ in range(2000)]
+    codes = np.full(L.RARITY_BUCKETS, 20, np.uint8)
+    batch = pa.RecordBatch.from_pydict({"uid": pa.array(range(len(texts)), pa.int64()), "firsts": pa.array([b"1" * 10] * len(texts)), "text": pa.array(texts)})
+    sent = [r for b in L._prefix_rows(codes, 0.8, 64)([batch]) for r in b.to_pylist()]
+    rows = sum(r["n"] for r in sent)
+    assert sum(len(r[c]) for r in sent for c in ("part", "uid", "bits", "rest")) < 22 * rows
+    found = set()
+    for r in sent:
+        g = L._unpacked(r)
+        assert (g["part"] >> np.uint64(58) == r["bucket"]).all() and (g["part"] == g["key"]).all()
+        found |= {(a, b) for a, b, k in zip(g["uid"].tolist(), g["no"].tolist(), g["key"].tolist())}
+    assert len(found) == 20_000 and rows > 40_000
