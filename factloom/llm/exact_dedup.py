@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_texts, slices
+from .common import lean, materialize, raw_texts, slices
 
 #: Deleted before comparison: space and the control characters from tab to carriage return.
 IGNORED = b" \t\n\x0b\x0c\r"
@@ -85,7 +85,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: its id, keep_id (id of the row of its group that stays: most code points, then smallest id), group_size, kept, text_sha256 of the normalised text, fingerprint."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    fps = rows.withColumn("n_chars", F.coalesce(F.length("body"), F.lit(0)).cast("long")).mapInArrow(_hashed("body", ["id", "n_chars"], False, moduli), f"id {kind}, n_chars long, fp long, n_bytes long, text_sha256 string")
+    fps = rows.withColumn("n_chars", F.coalesce(F.length("body"), F.lit(0)).cast("long")).mapInArrow(lean(_hashed("body", ["id", "n_chars"], False, moduli)), f"id {kind}, n_chars long, fp long, n_bytes long, text_sha256 string")
     fps = materialize(fps.withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
 
     def grouped(fps: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = materialize(grouped(plain).filter("group_size > 1").select(F.col("id").alias("shared_id")), "shared")
     if shared.count() <= BROADCAST_IDS:
         shared = F.broadcast(shared)
-    pieces = rows.join(shared, F.col("id").eqNullSafe(F.col("shared_id")), "left_semi").mapInArrow(_hashed("body", [], True, moduli), "fp long, n_bytes long, body binary, text_sha256 string")
+    pieces = rows.join(shared, F.col("id").eqNullSafe(F.col("shared_id")), "left_semi").mapInArrow(lean(_hashed("body", [], True, moduli)), "fp long, n_bytes long, body binary, text_sha256 string")
     at = F.explode(F.expr(f"sequence(0L, (greatest(n_bytes, 1L) - 1L) div {COMPARED})"))
     chunks = pieces.select("fp", "n_bytes", "body", at.alias("k")).select("fp", "n_bytes", "k", F.expr(f"substring(body, cast(k * {COMPARED} + 1 as int), {COMPARED})").alias("chunk"))
     differ = chunks.groupBy("fp", "n_bytes", "k").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).filter("least <> most")

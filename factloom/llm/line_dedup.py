@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_texts, slices
+from .common import lean, materialize, raw_texts, slices
 from .words import mixed, word_hashes
 
 #: Hash buckets whose word counts order words by rarity (powers of two), and how many of them are summed together; the table has one byte for each.
@@ -42,13 +42,13 @@ RARITY_BUCKETS, RARITY_BLOCK = 1 << 22, 1 << 14
 #: Occurrences from which a word is frequent; lines of a key that are compared in one task.
 FREQUENT, GROUP_ROWS = 4096, 8192
 #: Rows that a task gathers before it sends them by bucket; rows of a bucket on average; rows of a bucket that a task holds (of more, only large keys are compared where they are).
-SENT_ROWS, BUCKET_ROWS, HELD_ROWS = 1 << 18, 1 << 18, 1 << 20
+SENT_ROWS, BUCKET_ROWS, HELD_ROWS = 1 << 17, 1 << 18, 1 << 20
 #: Lines of more distinct words have their parities in two halves, 128 bits in all.
 LONG = 64
 #: Bytes up to which a side of a join is broadcast; the join shuffles beyond.
 BROADCAST_BYTES = 48 << 20
 #: Bytes of text hashed, and pairs compared, at once in a task.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 PAIRS_AT_ONCE = 1 << 17
 #: The rows of a line's prefix. part: the key, or the key with a salt where it may be large; rows are dealt by it alone.
 _ROW = {"part": np.uint64, "key": np.uint64, "uid": np.int64, "no": np.int32, "n": np.int32, "pos": np.int32, "bits": np.uint64, "odd": np.uint64}
@@ -122,7 +122,7 @@ def rarity(rows: DataFrame, hashed: Callable[[list[bytes]], np.ndarray] = lambda
 
     schema = "block int, counts binary"
     table = np.zeros((RARITY_BUCKETS // RARITY_BLOCK, RARITY_BLOCK), np.uint8)
-    for r in rows.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():
+    for r in rows.select("text").mapInArrow(lean(count), schema).repartition("block").mapInArrow(lean(add), schema).collect():
         table[r["block"]] = np.frombuffer(pa.decompress(r["counts"], decompressed_size=RARITY_BLOCK, codec="zstd", asbytes=True), np.uint8)
     return table.reshape(-1)
 
@@ -390,7 +390,7 @@ def _word_sets(rows: DataFrame, places: DataFrame, needed: DataFrame) -> DataFra
 
     by_document = materialize(needed.groupBy(F.col("uid").alias("n_uid")).agg(F.sort_array(F.collect_set("no")).alias("nos")), "needed")
     documents = _documents(rows, places).join(_small(by_document, F.size("nos") * 4 + 32), F.col("uid") == F.col("n_uid"))
-    return documents.select("uid", "nos", "text").mapInArrow(run, "uid long, no int, words array<long>")
+    return documents.select("uid", "nos", "text").mapInArrow(lean(run), "uid long, no int, words array<long>")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, similarity: float) -> DataFrame:
@@ -415,12 +415,12 @@ def similar_lines(rows: DataFrame, places: DataFrame, similarity: float) -> Data
     """(uid, no): the first places of lines that an earlier line reaches."""
     codes = rarity(rows)
     letters = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    buckets = 1024
+    buckets = 256
     while buckets < 1 << 20 and buckets * BUCKET_ROWS < letters * (1 - similarity) / 6:  # some six letters a word
         buckets *= 2
-    prefix = _documents(rows, places).mapInArrow(_prefix_rows(codes, similarity, buckets), _SENT)
+    prefix = _documents(rows, places).mapInArrow(lean(_prefix_rows(codes, similarity, buckets)), _SENT)
     dealt = prefix.repartition("bucket").sortWithinPartitions("bucket")
-    found = materialize(dealt.mapInArrow(_compared(similarity), _FOUND), "found", "kind")
+    found = materialize(dealt.mapInArrow(lean(_compared(similarity)), _FOUND), "found", "kind")
     pairs = found.where(f"kind = {PAIR}").groupBy("a_uid", "a_no", "uid", "no").agg(F.bool_or("more").alias("more"))
     pairs = materialize(pairs, "pairs")
     removed = _verified(pairs, rows, places, similarity)

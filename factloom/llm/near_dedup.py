@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialize, raw_texts, slices
+from .common import lean, materialize, raw_texts, slices
 from .components import components
 from .line_dedup import rarity
 from .words import hashed_texts, mixed
@@ -32,9 +32,9 @@ from .words import hashed_texts, mixed
 #: Bits of the table of hashes that stand in two prefixes (a power of two); hashes that one task handles on average.
 TABLE_BITS, BUCKET_HASHES = 1 << 27, 1 << 21
 #: Hashes that a task gathers before it sends them.
-CHUNK_HASHES = 1 << 21
+CHUNK_HASHES = 1 << 20
 #: Bytes of text hashed at once.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 #: Bytes up to which a side of a join is broadcast; the join shuffles beyond.
 BROADCAST_BYTES = 48 << 20
 
@@ -149,7 +149,7 @@ def _twice(rows: DataFrame, words: int, similarity: float, codes: np.ndarray) ->
     buckets = 64
     while buckets < TABLE_BITS >> 12 and buckets * BUCKET_HASHES < letters // 18:  # some six letters a word, three tenths of the shingles
         buckets *= 2
-    asked = rows.select("text").mapInArrow(ask, "bucket int, n long, hashes binary, twice binary")
+    asked = rows.select("text").mapInArrow(lean(ask), "bucket int, n long, hashes binary, twice binary")
     bits = np.zeros((buckets, TABLE_BITS // buckets // 8), np.uint8)
     for r in asked.groupBy("bucket").applyInArrow(tell, "bucket int, bits binary").toLocalIterator():
         bits[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
@@ -179,7 +179,7 @@ def _sets(rows: DataFrame, words: int, similarity: float, table: np.ndarray | No
             for part in slices(batch, "text", most=TEXT_BYTES):
                 yield made(part)
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, n int, hashes array<long>, pos array<int>")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, key long, n int, hashes array<long>, pos array<int>")
 
 
 def _passes(t: float) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import load
-from .common import raw_texts, slices
+from .common import lean, raw_texts, slices
 
 #: Penalties in tokens of padding: for ending a window inside a document at a sentence end, or inside a sentence; for each window.
 AT_SENTENCE, INSIDE, EACH = 2.0, 6.0, 1.0
@@ -174,5 +174,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
     kind = rows.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    out = rows.mapInArrow(_packer(tokenizer_path, end_id, length, to_arrow_type(kind)), f"id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    out = rows.mapInArrow(lean(_packer(tokenizer_path, end_id, length, to_arrow_type(kind))), f"id {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

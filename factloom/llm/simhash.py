@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialize, raw_texts, slices
+from .common import lean, materialize, raw_texts, slices
 from .components import components
 from .covering import THRESHOLD, Anchors
 
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
                 fps = [simhash([digest(s, SEED) for s in shingles(x, words)]) for x in raw_texts(part.column("text"))]
                 yield pa.RecordBatch.from_pydict({"id": part.column("id").cast(kind), "fp": pa.array(np.array(fps, dtype=np.uint64).view(np.int64))})
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _replicate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +172,8 @@ def _cell(key, table):
 
 def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     """(a, b): links that connect every two of the distinct fingerprints (column fp) that differ in at most THRESHOLD bits."""
-    found = distinct.mapInArrow(_replicate, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
-    found = materialize(found.mapInArrow(_compare(dense), "kind long, a long, b long"), "links")
+    found = distinct.mapInArrow(lean(_replicate), "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
+    found = materialize(found.mapInArrow(lean(_compare(dense)), "kind long, a long, b long"), "links")
     over = found.where("kind = 1").select(F.col("a").alias("anchor"), F.col("b").alias("fp"))
     blocks = over.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).select("anchor", F.ceil(F.col("n") / dense).cast("int").alias("blocks"))
     dealt = over.join(blocks, "anchor").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))

@@ -257,3 +257,29 @@ def test_line_dedup_sends_few_bytes():
         assert (g["part"] >> np.uint64(58) == r["bucket"]).all() and (g["part"] == g["key"]).all()
         found |= {(a, b) for a, b, k in zip(g["uid"].tolist(), g["no"].tolist(), g["key"].tolist())}
     assert len(found) == 20_000 and rows > 40_000
+
+
+def test_workers_return_memory(spark):
+    """After a task with many small objects a worker is about as small as before; word hashes hold no large tables."""
+
+    def size() -> int:
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    def run(batches):
+        list(batches)
+        before = size()
+        held = [bytes(100) for _ in range(1_000_000)]
+        del held
+        L.word_hashes(b"some words " * 100_000)
+        yield pa.RecordBatch.from_pydict({"grown": pa.array([before])})
+
+    from factloom.llm import common
+
+    ours = common.lean(run)
+
+    def wrapped(batches):
+        before = [b.column(0)[0].as_py() for b in ours(batches)]
+        yield pa.RecordBatch.from_pydict({"grown": pa.array([size() - x for x in before])})
+
+    grown = [r["grown"] for r in spark.range(1).coalesce(1).mapInArrow(wrapped, "grown long").collect()]
+    assert len(grown) == 1 and grown[0] < 24 << 20
