@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, raw_texts, slices
+from .common import hold, lean, materialize, raw_texts, slices
 from .words import mixed, word_hashes
 
 #: Hash buckets whose word counts order words by rarity (powers of two), and how many of them are summed together; the table has one byte for each.
@@ -59,7 +59,7 @@ _REST = ("key", "no", "n", "pos", "odd")
 
 
 def _small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
-    """df (written already), to be broadcast if its rows, of row_bytes each, take few bytes."""
+    """df (held already), to be broadcast if its rows, of row_bytes each, take few bytes."""
     size = df.agg(F.coalesce(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
@@ -78,9 +78,9 @@ def first_places(rows: DataFrame) -> DataFrame:
     lines = rows.select("id", F.xxhash64("text").alias("version"), F.posexplode_outer(F.split("text", "\n")).alias("no", "line")).where("no IS NOT NULL")
     keyed = lines.select(F.expr("unhex(md5(line))").alias("key"), F.struct(F.col("id").isNull().alias("none"), "id", "no", "version").alias("place"))
     places = keyed.groupBy("key").agg(F.min("place").alias("place")).select("place.*")
-    found = materialize(places.groupBy("none", "id", "version").agg(F.sort_array(F.collect_list("no")).alias("at")).select("none", "id", "version", F.expr(_numbers("at")).alias("firsts")), "firsts")
+    found = hold(places.groupBy("none", "id", "version").agg(F.sort_array(F.collect_list("no")).alias("at")).select("none", "id", "version", F.expr(_numbers("at")).alias("firsts")))
     ordered = found.repartitionByRange("none", "id", "version").sortWithinPartitions("none", "id", "version")
-    return materialize(ordered.select("id", "version", F.monotonically_increasing_id().alias("uid"), "firsts"), "places")
+    return hold(ordered.select("id", "version", F.monotonically_increasing_id().alias("uid"), "firsts"))
 
 
 class _Lines:
@@ -388,7 +388,7 @@ def _word_sets(rows: DataFrame, places: DataFrame, needed: DataFrame) -> DataFra
                 doc = np.searchsorted(lines.first, at, "right") - 1
                 yield pa.RecordBatch.from_pydict({"uid": pa.array(part.column("uid").to_numpy(zero_copy_only=False)[doc]), "no": pa.array((at - lines.first[doc]).astype(np.int32)), "words": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words.view(np.int64)))})
 
-    by_document = materialize(needed.groupBy(F.col("uid").alias("n_uid")).agg(F.sort_array(F.collect_set("no")).alias("nos")), "needed")
+    by_document = hold(needed.groupBy(F.col("uid").alias("n_uid")).agg(F.sort_array(F.collect_set("no")).alias("nos")))
     documents = _documents(rows, places).join(_small(by_document, F.size("nos") * 4 + 32), F.col("uid") == F.col("n_uid"))
     return documents.select("uid", "nos", "text").mapInArrow(lean(run), "uid long, no int, words array<long>")
 
@@ -396,10 +396,10 @@ def _word_sets(rows: DataFrame, places: DataFrame, needed: DataFrame) -> DataFra
 def _verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, similarity: float) -> DataFrame:
     """(uid, no): the later lines of the pairs (a_uid, a_no, uid, no) that reach the similarity."""
     ends = pairs.select("uid", "no").unionByName(pairs.selectExpr("a_uid AS uid", "a_no AS no"))
-    words = materialize(_word_sets(rows, places, ends), "words")
+    words = hold(_word_sets(rows, places, ends))
     a = words.select(F.col("uid").alias("a_uid"), F.col("no").alias("a_no"), F.col("words").alias("wa"))
     both = pairs.join(a, ["a_uid", "a_no"]).join(words, ["uid", "no"]).select("uid", "no", F.size(F.array_intersect("wa", "words")).alias("shared"), (F.size("wa") + F.size("words")).alias("total"))
-    return materialize(both.where(f"shared >= {similarity} * (total - shared) - 1e-9").select("uid", "no").distinct(), "removed")
+    return hold(both.where(f"shared >= {similarity} * (total - shared) - 1e-9").select("uid", "no").distinct())
 
 
 def _passes(a: str, b: str, t: float) -> str:
@@ -420,28 +420,28 @@ def similar_lines(rows: DataFrame, places: DataFrame, similarity: float) -> Data
         buckets *= 2
     prefix = _documents(rows, places).mapInArrow(lean(_prefix_rows(codes, similarity, buckets)), _SENT)
     dealt = prefix.repartition("bucket").sortWithinPartitions("bucket")
-    found = materialize(dealt.mapInArrow(lean(_compared(similarity)), _FOUND), "found", "kind")
+    found = hold(dealt.mapInArrow(lean(_compared(similarity)), _FOUND))
     pairs = found.where(f"kind = {PAIR}").groupBy("a_uid", "a_no", "uid", "no").agg(F.bool_or("more").alias("more"))
-    pairs = materialize(pairs, "pairs")
+    pairs = hold(pairs)
     removed = _verified(pairs, rows, places, similarity)
     undecided = pairs.where("more").select("uid", "no").distinct().join(removed, ["uid", "no"], "left_anti")
     members = found.where(f"kind <> {PAIR}").select(*_MEMBER, "kind")
     opened = members.where(f"kind = {OPEN}").select("uid", "no").distinct().join(removed, ["uid", "no"], "left_anti")
-    again = materialize(undecided.unionByName(opened).distinct(), "again")
+    again = hold(undecided.unionByName(opened).distinct())
     if not again.head(1):
         return removed
     few = _small(again, 16)
-    keys = materialize(members.join(few, ["uid", "no"], "left_semi").select("key").distinct(), "keys")
-    others = materialize(members.join(_small(keys, 16), "key", "left_semi").select(*_MEMBER), "others")
-    asked = materialize(others.join(few, ["uid", "no"], "left_semi"), "asked")
+    keys = hold(members.join(few, ["uid", "no"], "left_semi").select("key").distinct())
+    others = hold(members.join(_small(keys, 16), "key", "left_semi").select(*_MEMBER))
+    asked = hold(others.join(few, ["uid", "no"], "left_semi"))
     # Lines of both sides that pass the filters with some line of the other; only they are read again.
     passes = F.expr(f"a.key = b.key AND {_passes('a', 'b', similarity)}")
-    earlier = materialize(others.alias("a").join(_small(asked, 64).alias("b"), passes, "left_semi"), "earlier")
-    later = materialize(asked.alias("b").join(_small(earlier, 64).alias("a"), passes, "left_semi"), "later")
-    words = materialize(_word_sets(rows, places, earlier.unionByName(later).select("uid", "no")), "words")
+    earlier = hold(others.alias("a").join(_small(asked, 64).alias("b"), passes, "left_semi"))
+    later = hold(asked.alias("b").join(_small(earlier, 64).alias("a"), passes, "left_semi"))
+    words = hold(_word_sets(rows, places, earlier.unionByName(later).select("uid", "no")))
     same = f"size(array_intersect(a.words, b.words)) >= {similarity} * (a.n + b.n - size(array_intersect(a.words, b.words))) - 1e-9"
     reached = later.join(words, ["uid", "no"]).alias("b").join(earlier.join(words, ["uid", "no"]).alias("a"), passes & F.expr(same), "left_semi")
-    return removed.unionByName(materialize(reached.select("uid", "no").distinct(), "removed"))
+    return removed.unionByName(hold(reached.select("uid", "no").distinct()))
 
 
 def _once(rows: DataFrame) -> DataFrame:
@@ -457,7 +457,7 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     rows = _once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     places = first_places(rows)
     gone = similar_lines(rows, places, similarity).groupBy(F.col("uid").alias("g_uid")).agg(F.sort_array(F.collect_list("no")).alias("at")).select("g_uid", F.expr(_numbers("at")).alias("gone"))
-    marks = materialize(places.join(gone, F.col("uid") == F.col("g_uid"), "left").select(F.col("id").alias("m_id"), F.col("version").alias("m_version"), F.col("firsts").alias("m_firsts"), F.col("gone").alias("m_gone")), "marks")
+    marks = hold(places.join(gone, F.col("uid") == F.col("g_uid"), "left").select(F.col("id").alias("m_id"), F.col("version").alias("m_version"), F.col("firsts").alias("m_firsts"), F.col("gone").alias("m_gone")))
     whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = whole.join(_small(marks, F.length("m_firsts") + F.coalesce(F.length("m_gone"), F.lit(0)) + 64), F.col("id").eqNullSafe(F.col("m_id")) & (F.xxhash64("text") == F.col("m_version")), "left")
     blank = lambda x: F.translate(x, " \t\x0b\f\r", "") == ""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import lean, materialize, raw_texts, slices
+from .common import hold, lean, raw_texts, slices
 from .components import components
 from .line_dedup import rarity
 from .words import hashed_texts, mixed
@@ -40,7 +40,7 @@ BROADCAST_BYTES = 48 << 20
 
 
 def _small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df (written already), to be broadcast if it is small."""
+    """df (held already), to be broadcast if it is small."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
@@ -190,11 +190,11 @@ def _passes(t: float) -> str:
 
 def _whole(keys: DataFrame, rows: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
     """(key, set) of the keys, read again from the text with the least id of each."""
-    needed = materialize(keys.distinct(), "needed")
-    ids = materialize(found.join(_small(needed, 16), "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("x")).select(F.col("x.id").alias("w_id")).distinct(), "ids")
+    needed = hold(keys.distinct())
+    ids = hold(found.join(_small(needed, 16), "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("x")).select(F.col("x.id").alias("w_id")).distinct())
     texts = rows.join(_small(ids, 64), F.col("id").eqNullSafe(F.col("w_id")), "left_semi")
     whole = _sets(texts, words, similarity).select("key", F.col("hashes").alias("set")).join(_small(needed, 16), "key", "left_semi")
-    return materialize(whole.dropDuplicates(["key"]), "sets")
+    return hold(whole.dropDuplicates(["key"]))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -202,29 +202,29 @@ def _verified(pairs: DataFrame, rows: DataFrame, found: DataFrame, words: int, s
     sets = _whole(pairs.selectExpr("a AS key").unionByName(pairs.selectExpr("b AS key")), rows, found, words, similarity)
     both = pairs.join(sets.selectExpr("key AS a", "set AS sa"), "a").join(sets.selectExpr("key AS b", "set AS sb"), "b")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
-    return materialize(both.where(f"shared >= {similarity} * (total - shared) - 1e-9").select("a", "b"), "verified")
+    return hold(both.where(f"shared >= {similarity} * (total - shared) - 1e-9").select("a", "b"))
 
 
 def similar_sets(rows: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): the keys of pairs of sets that reach the similarity, enough of them to connect all that do. rows: (id, text); found: their sets with the hashes told of."""
-    prefix = materialize(found.where("size(hashes) > 0").dropDuplicates(["key"]).select("key", "n", F.explode(F.arrays_zip("hashes", "pos")).alias("x")).select(F.col("x.hashes").alias("h"), "key", "n", F.col("x.pos").alias("pos")), "prefixes")
+    prefix = hold(found.where("size(hashes) > 0").dropDuplicates(["key"]).select("key", "n", F.explode(F.arrays_zip("hashes", "pos")).alias("x")).select(F.col("x.hashes").alias("h"), "key", "n", F.col("x.pos").alias("pos")))
     heads = prefix.groupBy("h").agg(F.min(F.struct("key", "n", "pos")).alias("a"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    near = materialize(prefix.alias("b").join(heads, "h").where(f"b.key <> a.key AND {_passes(similarity)}").selectExpr("a.key AS a", "b.key AS b").distinct(), "pairs")
+    near = hold(prefix.alias("b").join(heads, "h").where(f"b.key <> a.key AND {_passes(similarity)}").selectExpr("a.key AS a", "b.key AS b").distinct())
     first = _verified(near, rows, found, words, similarity)
     reached = components(first).select(F.col("node").alias("key"), "component")
-    placed = materialize(prefix.join(heads.select("h"), "h", "left_semi").join(reached, "key", "left").select("h", "key", "n", "pos", F.coalesce("component", "key").alias("component")), "placed")
+    placed = hold(prefix.join(heads.select("h"), "h", "left_semi").join(reached, "key", "left").select("h", "key", "n", "pos", F.coalesce("component", "key").alias("component")))
     apart = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    left = materialize(placed.join(apart, "h", "left_semi"), "apart")
+    left = hold(placed.join(apart, "h", "left_semi"))
     passes = f"a.h = b.h AND a.key < b.key AND a.component <> b.component AND {_passes(similarity)}"
     again = left.alias("a").join(left.alias("b"), F.expr(passes)).selectExpr("a.key AS a", "b.key AS b").distinct()
-    return first.unionByName(_verified(materialize(again, "pairs"), rows, found, words, similarity))
+    return first.unionByName(_verified(hold(again), rows, found, words, similarity))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, component_id (the least id of the rows connected by pairs that reach the similarity)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     codes = rarity(rows, lambda x: _shingles(x, words)[1])
-    found = materialize(_sets(rows, words, similarity, _twice(rows, words, similarity, codes), codes), "shingles")
+    found = hold(_sets(rows, words, similarity, _twice(rows, words, similarity, codes), codes))
     reached = components(similar_sets(rows, found, words, similarity))
     joined = found.select("id", "key").join(reached, F.col("key") == F.col("node"), "left").select("id", F.coalesce("component", "key").alias("component"))
     firsts = joined.groupBy("component").agg(F.min("id").alias("component_id"))

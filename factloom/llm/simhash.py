@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import lean, materialize, raw_texts, slices
+from .common import hold, lean, raw_texts, slices
 from .components import components
 from .covering import THRESHOLD, Anchors
 
@@ -173,7 +173,7 @@ def _cell(key, table):
 def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     """(a, b): links that connect every two of the distinct fingerprints (column fp) that differ in at most THRESHOLD bits."""
     found = distinct.mapInArrow(lean(_replicate), "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
-    found = materialize(found.mapInArrow(lean(_compare(dense)), "kind long, a long, b long"), "links")
+    found = hold(found.mapInArrow(lean(_compare(dense)), "kind long, a long, b long"))
     over = found.where("kind = 1").select(F.col("a").alias("anchor"), F.col("b").alias("fp"))
     blocks = over.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).select("anchor", F.ceil(F.col("n") / dense).cast("int").alias("blocks"))
     dealt = over.join(blocks, "anchor").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -184,7 +184,7 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
 
 def classes(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     """(fp, component_id) for every distinct fp of (id, fp): the least id of the rows whose fingerprints are connected by links."""
-    least = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    least = hold(fps.groupBy("fp").agg(F.min("id").alias("least")))
     reached = components(links(least.select("fp"), dense))
     joined = least.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     firsts = joined.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -193,6 +193,6 @@ def classes(fps: DataFrame, dense: int = DENSE) -> DataFrame:
 
 def simhash_near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
     """One row per row of docs: id, fingerprint (hex), component_id."""
-    fps = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    fps = hold(fingerprints(docs, words, id_col, text_col))
     found = classes(fps, dense).select(F.col("fp").alias("found"), "component_id")
     return fps.join(found, F.col("fp") == F.col("found")).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

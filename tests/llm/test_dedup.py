@@ -283,3 +283,22 @@ def test_workers_return_memory(spark):
 
     grown = [r["grown"] for r in spark.range(1).coalesce(1).mapInArrow(wrapped, "grown long").collect()]
     assert len(grown) == 1 and grown[0] < 24 << 20
+
+
+def test_intermediate_tables_write_no_files(spark):
+    """Files written by Hadoop's local file system start processes that share the executor's memory; line dedup with its second round, near-dedup and simhash write none."""
+    from pathlib import Path
+
+    from factloom.llm import near_dedup as N
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    base = [rng.choices(words, k=12) for _ in range(8)]
+    docs = [(i, "\n".join(" ".join(w if rng.random() > 0.08 else rng.choice(words) for w in rng.choice(base)) for _ in range(3))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(shared.rglob("*"))
+    got = L.dedup_lines(df).collect()
+    classes = [x.collect() for x in (N.near_duplicates(df), S.simhash_near_duplicates(df))]
+    assert set(shared.rglob("*")) == before
+    assert {r["doc_id"]: r["text"] for r in got} == brute_lines(docs) and all(len(x) == len(docs) for x in classes)
