@@ -6,6 +6,8 @@ as Parquet into the shared folder and reads it again. All stages but the last re
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from factloom.llm.common import held_out, materialize
 
 #: Documents whose predicted language is less probable than this are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Rows of a batch that is sent to a Python worker; both ends hold it whole.
+SENT_ROWS = 1000
 #: Ids, of numbers, up to which the rows to drop are broadcast; the join shuffles beyond.
 MOST_BROADCAST = 2_000_000
 
@@ -60,7 +64,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _in_small_batches(stage):
+    """The stage in a session that sends Python workers at most SENT_ROWS rows at once; it stays so, as the stage's result is computed later."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        most = int(spark.conf.get(key))
+        if most <= 0 or most > SENT_ROWS:
+            spark.conf.set(key, SENT_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [("toxicity", reject_toxic), ("language_id", reject_unknown_language), ("line_dedup", drop_repeated_lines), ("simhash", drop_near_duplicates), ("packing", pack)]
+STAGES = [(name, _in_small_batches(stage)) for name, stage in STAGES]
 
 #: SQL can't express the classifiers and the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None

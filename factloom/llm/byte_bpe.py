@@ -90,9 +90,7 @@ class ByteBPE:
             found = [self._known(data[s:e].decode()) for s, e in zip(starts[new].tolist(), ends[new].tolist())]
             ids = np.frombuffer(b"".join(found), "<u4")
             counts = np.array([len(x) >> 2 for x in found], np.int64)
-            if self.used + len(ids) > len(self.arena):
-                self.arena = np.concatenate([self.arena[: self.used], np.empty(len(ids) + len(self.arena) // 2 + 1024, "<u4")])
-            self.arena[self.used : self.used + len(ids)] = ids
+            self._behind(ids)
             spans = np.stack([np.cumsum(counts) - counts + self.used, counts])
             self.used += len(ids)
             into = np.searchsorted(self.keys, hashes[new])
@@ -100,6 +98,12 @@ class ByteBPE:
             at = np.searchsorted(self.keys, hashes)
         return self.spans[0, at], self.spans[1, at]
 
+    def _behind(self, ids: np.ndarray) -> None:
+        """Write ids behind those that the arena keeps."""
+        if self.used + len(ids) > len(self.arena):
+            self.arena = np.concatenate([self.arena[: self.used], np.empty(len(ids) + len(self.arena) // 2 + 1024, "<u4")])
+        self.arena[self.used : self.used + len(ids)] = ids
+
     def _known(self, piece: str) -> bytes:
         """Of a piece that follows a space: a word and the marks after it are looked up apart, so that the memo holds words."""
         stem = piece.rstrip(_MARKS)
@@ -129,12 +133,13 @@ class ByteBPE:
         heads = heads[hashes[heads] >= len(first)]
         offset, counts = self._looked_up(hashes[heads], data, starts[heads], ends[heads])
         opening = [self._ids(data[s:e].decode()) for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-        table = np.concatenate([np.frombuffer(b"".join(opening), "<u4"), self.arena[: self.used]])
+        # The opening pieces' ids stand behind the kept ones until the next call, so that the arena isn't copied.
+        self._behind(np.frombuffer(b"".join(opening), "<u4"))
         own = np.array([len(x) >> 2 for x in opening], np.int64)
-        offset, counts = np.concatenate([np.cumsum(own) - own, offset + own.sum()]), np.concatenate([own, counts])
+        offset, counts = np.concatenate([np.cumsum(own) - own + self.used, offset]), np.concatenate([own, counts])
         many = counts[which]
         stops = np.cumsum(many)
-        ids = table[np.arange(stops[-1]) + np.repeat(offset[which] - stops + many, many)]
+        ids = self.arena[np.arange(stops[-1]) + np.repeat(offset[which] - stops + many, many)]
         last = stops[np.append(first[1:], len(which)) - 1]
         encoded = iter([ids[a:b].tobytes() for a, b in zip(np.concatenate([[0], last[:-1]]).tolist(), last.tolist())])
         return [next(encoded) if p else self.encode(x.decode()) for x, p in zip(texts, plain)]

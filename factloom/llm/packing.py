@@ -152,7 +152,7 @@ def _packer(path: str, end_id: int, length: int, id_type: pa.DataType):
             n -= stop
 
         for batch in batches:
-            for part in slices(batch, "text", rows=8192, most=2 << 20):
+            for part in slices(batch, "text", rows=8192, most=1 << 20):
                 for name, ids in zip(part.column("id").to_pylist(), encoder.encode_all(raw_texts(part.column("text")))):
                     ids += end
                     names.append(name)

@@ -75,3 +75,17 @@ def test_pairs_are_verified_once(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
     assert got == {i: i - i % 2 for i in range(len(texts))}
     assert all(len(x) == len(set(x)) for x in seen) and sum(map(len, seen)) < 400  # of 12720 pairs that share hashes
+
+
+def test_stages_send_few_rows_at_once(spark):
+    """The session's own smaller number of rows stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'a b' AS text")
+    before = spark.conf.get(key)
+    try:
+        for own, found in (("10000", str(corpus_pipeline.SENT_ROWS)), ("0", str(corpus_pipeline.SENT_ROWS)), ("7", "7")):
+            spark.conf.set(key, own)
+            dict(corpus_pipeline.STAGES)["packing"](spark, docs, "")
+            assert spark.conf.get(key) == found
+    finally:
+        spark.conf.set(key, before)
