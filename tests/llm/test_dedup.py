@@ -290,13 +290,14 @@ def test_intermediate_tables_write_no_files(spark):
     from pathlib import Path
 
     from factloom.llm import near_dedup as N
+    from factloom.plans.store import shared_dir
 
     rng = random.Random(11)
     words = [f"w{i}" for i in range(40)]
     base = [rng.choices(words, k=12) for _ in range(8)]
     docs = [(i, "\n".join(" ".join(w if rng.random() > 0.08 else rng.choice(words) for w in rng.choice(base)) for _ in range(3))) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    shared = Path(shared_dir(spark).removeprefix("file:"))
     before = set(shared.rglob("*"))
     got = L.dedup_lines(df).collect()
     classes = [x.collect() for x in (N.near_duplicates(df), S.simhash_near_duplicates(df))]
